@@ -83,18 +83,22 @@ def fit(sample: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge
     """Nyström features at evenly dealt landmarks, then ridge regression against each language's indicator."""
     languages = sorted(set(labels))
     y = np.array([[lab == lang for lang in languages] for lab in labels], np.float64)
-    p = sample.astype(np.float64)
-    unit = p / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1))
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        p = rows.astype(np.float32)
+        return p / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1))
+
     pick = np.unique(np.linspace(0, len(labels) - 1, min(landmarks, len(labels))).astype(int))
-    base = unit[pick]
-    value, vector = np.linalg.eigh(base @ base.T)
-    good = value > 1e-8 * value[-1]
+    base = unit(sample[pick])
+    kernel = np.concatenate([unit(sample[i : i + 128]) @ base.T for i in range(0, len(labels), 128)]).astype(np.float64)  # in blocks: the driver is small
+    value, vector = np.linalg.eigh(kernel[pick])
+    good = value > 1e-6 * value[-1]
     half = vector[:, good] / np.sqrt(value[good])
-    features = unit @ base.T @ half
+    features = kernel @ half
     balance = (1 / y.sum(0))[y.argmax(1)][:, None]  # each language weighs the same
     gram = features.T @ (features * balance) + ridge * np.eye(features.shape[1])
     beta = np.linalg.solve(gram, features.T @ (y * balance))
-    return LanguageModel(languages, (base.T @ (half @ beta)).astype(np.float32))
+    return LanguageModel(languages, base.T @ (half @ beta).astype(np.float32))
 
 
 def fit_languages(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> LanguageModel | None:
