@@ -20,35 +20,35 @@ from pyspark.sql.window import Window
 
 PIECE = 48
 EXACT = 8
-#: Three 21-bit lanes to a word; 21 words for each of two hashes.
+#: Three 21-bit lanes to a word; 21 words for each hash.
 FIELDS = 0x0000040000200001
 SHIFTS = 21
-HASHES = 2
+HASHES = 1
 LANES = SHIFTS * 3 * HASHES
 LOW21 = (1 << 21) - 1
 ROWS_PER_RANGE = 2000
 MAX_RANGES = 2048
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+def add_vector(frame: DataFrame, text: Column, into: str) -> DataFrame:
+    """Append array<long> ``into``: EXACT lanes, then packed sketch words, then the number of pieces.
 
-
-def vector(text: Column) -> Column:
-    """array<long> of a text: EXACT lanes, then packed sketch words, then the number of pieces."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x != "")
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\n]{{1,{PIECE}}}"), F.lit(0))
+    Lines, pieces and their hashes are columns of their own, so that each is made once however many lanes read it.
+    """
     seeded = lambda seed: lambda x: F.xxhash64(F.lit(seed), x)  # noqa: E731  (a lambda's second argument is the index)
     field = lambda b: lambda a, h: a + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(FIELDS))
-    exact = []
-    for i in range(EXACT // 2):
-        hashed = F.transform(lines, seeded(i))
-        exact += [_sum(F.transform(hashed, lambda h: F.shiftrightunsigned(h, 32))).bitwiseAND(F.lit(0xFFFFFFFF)), _sum(F.transform(hashed, lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)))).bitwiseAND(F.lit(0xFFFFFFFF))]
-    sketch = []
-    for j in range(HASHES):
-        bits = F.transform(pieces, seeded(100 + j))
-        sketch += [F.aggregate(bits, F.lit(0).cast("long"), field(b)) for b in range(SHIFTS)]
-    return F.array(*exact, *sketch, F.size(pieces).cast("long"))
+    name = lambda i: f"{into}_made_{i}"
+    body = F.coalesce(text, F.lit(""))
+    frame = frame.withColumns({name("lines"): F.filter(F.split(body, "\n"), lambda x: x != ""), name("pieces"): F.regexp_extract_all(body, F.lit(rf"[^\n]{{1,{PIECE}}}"), F.lit(0))})
+    hashed = {name(i): F.transform(name("lines"), seeded(i)) for i in range(EXACT // 2)}
+    hashed |= {name(100 + j): F.transform(name("pieces"), seeded(100 + j)) for j in range(HASHES)}
+    frame = frame.withColumns(hashed | {name("n"): F.size(name("pieces")).cast("long")}).drop(name("lines"), name("pieces"))
+    mask = F.lit(0xFFFFFFFF)
+    zero = F.lit(0).cast("long")
+    exact = [F.aggregate(name(i), zero, f).bitwiseAND(mask) for i in range(EXACT // 2) for f in (lambda a, h: a + F.shiftrightunsigned(h, 32), lambda a, h: a + h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    sketch = [F.aggregate(name(100 + j), zero, field(b)) for j in range(HASHES) for b in range(SHIFTS)]
+    made = frame.withColumn(into, F.array(*exact, *sketch, F.col(name("n"))))
+    return made.drop(*hashed, name("n"))
 
 
 def _lanes(v: Column) -> Column:
@@ -103,21 +103,23 @@ def _ranges(docs: DataFrame, id_col: str) -> Column:
     return F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col(id_col))), F.lit(0))
 
 
-def with_next(docs: DataFrame, id_col: str, text: str, carry: Column, into: str = "carry") -> DataFrame:
-    """Adds ``carry`` (named ``into``), and ``next_text`` and ``next_<into>`` of the following row by id, then text.
+def with_next(docs: DataFrame, id_col: str, text: str, into: str = "fp") -> DataFrame:
+    """id, text, fingerprint ``into``, and ``next_text`` and ``next_<into>`` of the following row by id, then text.
 
     Rows are dealt to id ranges and ordered within them; a range's last row takes the first row of the next range
-    that has rows (one small row per range), and the last row of all the first of all.
+    that has rows, and the last row of all the first of all. Those first rows, at most ``MAX_RANGES``, are found by
+    their ids and broadcast.
     """
-    base = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn(into, carry).withColumn("part", _ranges(docs, id_col))
+    plain = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("part", _ranges(docs, id_col))
     order = [F.col(id_col).asc_nulls_first(), F.col(text).asc()]
     window = Window.partitionBy("part").orderBy(*order)
-    led = base.withColumns({"next_row": F.lead(F.struct(text, into)).over(window)})
-    low = docs.select(F.col(id_col)).withColumn("part", _ranges(docs, id_col)).groupBy("part").agg(F.min(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("v"))).alias("low"))
-    firsts = base.join(low, "part").where(F.col(id_col).eqNullSafe(F.col("low.v"))).groupBy("part").agg(F.min_by(F.struct(text, into), F.col(text)).alias("first"))
+    led = add_vector(plain, F.col(text), into).withColumn("next_row", F.lead(F.struct(text, into)).over(window))
+    low = plain.groupBy("part").agg(F.min(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("v"))).alias("low"))
+    firsts = plain.join(F.broadcast(low), "part").where(F.col(id_col).eqNullSafe(F.col("low.v"))).groupBy("part").agg(F.min(text).alias(text))
+    firsts = add_vector(firsts, F.col(text), into).select("part", F.struct(text, into).alias("first"))
     turn = Window.orderBy("part")
     after = firsts.select("part", F.coalesce(F.lead("first").over(turn), F.first("first").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    joined = led.join(after, "part", "left").withColumn("next_row", F.coalesce("next_row", "after"))
+    joined = led.join(F.broadcast(after), "part", "left").withColumn("next_row", F.coalesce("next_row", "after"))
     return joined.select(id_col, text, into, F.col(f"next_row.{text}").alias("next_text"), F.col(f"next_row.{into}").alias(f"next_{into}"))
 
 

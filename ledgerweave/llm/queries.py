@@ -67,9 +67,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    led = fingerprint.with_next(docs, "doc_id", "text", fingerprint.vector(F.col("text")), "fp")
+    led = fingerprint.with_next(docs, "doc_id", "text", "fp")
     led = led.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_text")))
-    led = led.withColumn("edited_fp", fingerprint.vector(F.col("edited")))
+    led = fingerprint.add_vector(led, F.col("edited"), "edited_fp")
     return led.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

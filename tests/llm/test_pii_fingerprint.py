@@ -100,7 +100,9 @@ def test_edited_texts_and_next_document(spark, tmp_path, ids):
 def test_fingerprints_are_homomorphic_and_ordered(spark):
     a, b = "alpha beta\ngamma", "delta\nepsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"
     frame = spark.createDataFrame([(a, b, a + "\n" + b, b + "\n" + a)], "a string, b string, ab string, ba string")
-    v = {c: fingerprint.vector(F.col(c)) for c in frame.columns}
+    for c in ("a", "b", "ab", "ba"):
+        frame = fingerprint.add_vector(frame, F.col(c), f"v_{c}")
+    v = {c: F.col(f"v_{c}") for c in ("a", "b", "ab", "ba")}
     r = frame.select(
         (v["ab"] == v["ba"]).alias("order"), (fingerprint.combine(v["a"], v["b"]) == v["ab"]).alias("insert"), (fingerprint.combine(v["ab"], v["b"], -1) == v["a"]).alias("delete"), fingerprint.likeness(v["a"], v["a"]).alias("same"), fingerprint.likeness(v["a"], v["b"]).alias("other"), (fingerprint.as_text(v["a"]) == fingerprint.as_text(v["b"])).alias("equal")
     ).first()
