@@ -4,7 +4,7 @@ Every byte covered by a string of ``length`` = 200 bytes that starts at two or m
 that length is owned by its rightmost minimal 64-byte gram, which depends on the window's bytes alone, so equal
 windows meet under equal grams. Consecutive windows with one owner form a piece. Then:
 
-1. one scan emits the pieces (owner hash, hash of the whole piece, place);
+1. a scan emits the pieces (owner hash, hash of the whole piece, place);
 2. owners that occur once are dropped (partial counts, then a semi join that can split a hot owner);
 3. equal pieces are counted by partial aggregation, so thousands of copies become one row; a piece that occurs twice
    is a repeat as a whole and needs no sorting;
@@ -14,7 +14,8 @@ windows meet under equal grams. Consecutive windows with one owner form a piece.
    is dealt out by the hashes of its windows and counted there;
 5. the repeated ranges return to the documents by piece, and are cut out.
 
-Text is shuffled once (both joins read one exchange), pieces of single owners never travel. Nothing is collected.
+Pieces of repeated owners are written once to the shared folder; both joins with the text read one exchange. Nothing
+is collected.
 
 Defined cases: null text counts as empty; texts shorter than the length are returned whole; rows equal in id and text
 are repeats of each other; ids may be null or repeated; an empty table gives an empty result.
@@ -22,7 +23,6 @@ are repeats of each other; ids may be null or repeated; an empty table gives an
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +33,18 @@ from pyspark.sql import types as T
 
 from ledgerweave.llm import arrow_text as A
 from ledgerweave.llm.suffix_array import common_prefixes, suffix_array
+from ledgerweave.plans.checkpoint import cut
 
 LENGTH = 200
 GRAM = 64
 HOT = 4096
 SHARD_BYTES = 8 << 20
-PIECES = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("p", T.LongType()), T.StructField("q", T.LongType())]))
+PIECES = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("p", T.LongType())]))
 
 
 def owners(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Pieces of all rows: row, first window, windows, gram hash, and two hashes of the piece's bytes."""
-    empty = (np.zeros(0, np.int64),) * 6
+    """Pieces of all rows: row, first window, windows, gram hash, and a hash of the piece's bytes."""
+    empty = (np.zeros(0, np.int64),) * 5
     n = len(data)
     if n < length:
         return empty
@@ -65,9 +66,8 @@ def owners(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     change = np.ones(count, bool)
     change[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(change)
-    # in a stretch of windows with one minimum, its occurrences split the stretch
-    spots = np.flatnonzero(hashes == np.concatenate((low, np.full(m - count, low[-1], np.uint64))))
-    entering = np.flatnonzero(hashes[width - 1 : width - 1 + count] == low)  # a further occurrence becomes the rightmost
+    # a further occurrence of the minimum that enters becomes the rightmost
+    entering = np.flatnonzero(hashes[width - 1 : width - 1 + count] == low)
     begin = np.union1d(at, entering)
     begin = np.union1d(begin, np.flatnonzero(inside[1:] & ~inside[:-1]) + 1)
     stop = np.append(begin[1:], count)
@@ -75,31 +75,24 @@ def owners(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     stop = np.minimum(stop, last)
     good = stop > begin
     begin, stop = begin[good], stop[good]
-    del spots
-    prefix = A.BYTE_KEYS[data]
-    pieces = _range_hashes(prefix, begin, stop + length - 1)
-    return row[begin], begin - offsets[row[begin]], stop - begin, low[begin].view(np.int64), pieces[0].view(np.int64), pieces[1].view(np.int64)
-
-
-def _range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of ranges shorter than 512 values, from hashes of power-of-two blocks."""
-    out = []
-    for base in (A.BASE, np.uint64(0xD6E8FEB86659FD93)):
-        span, power, width = values, base, 1
-        total = np.zeros(len(start), np.uint64)
-        at = start.copy()
-        size = end - start
-        while True:
-            use = np.flatnonzero(size & width)
-            total[use] = total[use] * power + span[at[use]]
-            at[use] += width
-            if width * 2 > int(size.max(initial=0)):
-                break
-            span = span[:-width] * power + span[width:]
-            power = A.squared(power)
-            width *= 2
-        out.append(A.mix64(total + size.astype(np.uint64)))
-    return out[0], out[1]
+    pieces = _range_hashes(A.BYTE_KEYS[data], begin, stop + length - 1)
+    return row[begin], begin - offsets[row[begin]], stop - begin, low[begin].view(np.int64), pieces.view(np.int64)
+
+
+def _range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of values, from hashes of power-of-two blocks."""
+    span, power, width = values, np.uint64(0xD6E8FEB86659FD93), 1
+    total = np.zeros(len(start), np.uint64)
+    at, size = start.copy(), end - start
+    while True:
+        use = np.flatnonzero(size & width)
+        total[use] = total[use] * power + span[at[use]]
+        at[use] += width
+        if width * 2 > int(size.max(initial=0)):
+            return A.mix64(total + size.astype(np.uint64))
+        span = span[:-width] * power + span[width:]
+        power = A.squared(power)
+        width *= 2
 
 
 def sorted_repeats(pieces: list[bytes], windows: np.ndarray, counts: np.ndarray, length: int) -> list[np.ndarray]:
@@ -128,13 +121,13 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-RANGES = "h long, p long, q long, ranges array<struct<a:int,b:int>>"
+RANGES = "h long, p long, ranges array<struct<a:int,b:int>>"
 
 
-def _as_ranges(h: list, p: list, q: list, masks: list[np.ndarray], length: int) -> pa.RecordBatch:
+def _as_ranges(h: list, p: list, masks: list[np.ndarray], length: int) -> pa.RecordBatch:
     rows = [[{"a": int(a), "b": int(b) + length - 1} for a, b in zip(*runs(m), strict=True)] for m in masks]
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(rows, kind)], ["h", "p", "q", "ranges"])
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(p, pa.int64()), pa.array(rows, kind)], ["h", "p", "ranges"])
 
 
 def _shard_sort(length: int, shard_bytes: int):
@@ -145,18 +138,18 @@ def _shard_sort(length: int, shard_bytes: int):
         size = 0
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
-            h, p, q, c, m, body = zip(*rows, strict=True)
+            h, p, c, m, body = zip(*rows, strict=True)
             masks = sorted_repeats(list(body), np.array(c), np.array(m), length)
             hit = [i for i, x in enumerate(masks) if m[i] == 1 and x.any()]
-            return _as_ranges([h[i] for i in hit], [p[i] for i in hit], [q[i] for i in hit], [masks[i] for i in hit], length)
+            return _as_ranges([h[i] for i in hit], [p[i] for i in hit], [masks[i] for i in hit], length)
 
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 if size > shard_bytes and row[0] != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[4])
         if held:
             yield flush(held)
 
@@ -168,7 +161,7 @@ def _window_hashes(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, p, q, c, m, body = (batch.column(i).to_pylist() for i in range(6))
+            h, p, c, m, body = (batch.column(i).to_pylist() for i in range(5))
             for i in range(0, len(h), 512):
                 parts = [np.frombuffer(b, np.uint8) for b in body[i : i + 512]]
                 one = [A.mix64(A.grams(A.BYTE_KEYS[x], length)) for x in parts]
@@ -176,7 +169,7 @@ def _window_hashes(length: int):
                 n = np.array([len(x) for x in one])
                 spread = lambda v, i=i, n=n: np.repeat(np.array(v[i : i + 512], np.int64), n)
                 off = np.concatenate([np.arange(k) for k in n])
-                yield pa.RecordBatch.from_arrays([np.concatenate(one).view(np.int64), np.concatenate(two).view(np.int64), spread(h), spread(p), spread(q), pa.array(off, pa.int32()), spread(m)], ["w1", "w2", "h", "p", "q", "o", "m"])
+                yield pa.RecordBatch.from_arrays([np.concatenate(one).view(np.int64), np.concatenate(two).view(np.int64), spread(h), spread(p), pa.array(off, pa.int32()), spread(m)], ["w1", "w2", "h", "p", "o", "m"])
 
     return run
 
@@ -189,30 +182,30 @@ def repeated_ranges(docs: DataFrame, text: str, key: list[str], length: int = LE
     gram = min(GRAM, length)
 
     def emit(data: np.ndarray, offsets: np.ndarray) -> list:
-        row, s, c, h, p, q = owners(data, offsets, length, gram)
+        row, s, c, h, p = owners(data, offsets, length, gram)
         at = np.searchsorted(row, np.arange(len(offsets)))
-        item = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(c, pa.int32()), pa.array(h), pa.array(p), pa.array(q)], ["s", "c", "h", "p", "q"])
+        item = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(c, pa.int32()), pa.array(h), pa.array(p)], ["s", "c", "h", "p"])
         return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), item)]
 
     found = A.annotate(docs, text, "pieces", T.StructType([T.StructField("list", PIECES)]), emit, key)
     pieces = found.select(*key, F.inline("pieces.list"))
-    again = pieces.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    pieces = pieces.join(again, "h", "left_semi")
-    kinds = pieces.groupBy("h", "p", "q").agg(F.count("*").alias("m"), F.min(F.struct(*key, "s", "c")).alias("at"))
+    again = cut(pieces.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))  # cut, so that the join below can split a hot owner
+    pieces = cut(pieces.join(again, "h", "left_semi"))
+    kinds = pieces.groupBy("h", "p").agg(F.count("*").alias("m"), F.min(F.struct(*key, "s", "c")).alias("at"))
     spread = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    whole = kinds.where("m > 1").select("h", "p", "q", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.c") + length - 1).alias("b"))).alias("ranges"))
-    unsure = kinds.join(spread, "h").select("h", "p", "q", "m", "kinds", *[F.col(f"at.{k}").alias(k) for k in [*key, "s", "c"]])
-    bodies = docs.select(*key, F.col(text).alias("whole")).where(F.octet_length("whole") >= length)
-    filled = bodies.join(unsure, key).select("h", "p", "q", "c", "m", F.expr(f"substring(cast(whole as binary), s + 1, c + {length - 1})").alias("body"), "kinds")
-    columns = ["h", "p", "q", "c", "m", "body"]
+    whole = kinds.where("m > 1").select("h", "p", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.c") + length - 1).alias("b"))).alias("ranges"))
+    unsure = kinds.join(spread, "h").select("h", "p", "m", "kinds", *[F.col(f"at.{k}").alias(k) for k in [*key, "s", "c"]])
+    bodies = docs.select(*key, F.col(text).alias("whole"))  # the same subtree twice: one exchange serves both joins
+    filled = bodies.join(unsure, key).select("h", "p", "c", "m", F.expr(f"substring(cast(whole as binary), s + 1, c + {length - 1})").alias("body"), "kinds")
+    columns = ["h", "p", "c", "m", "body"]
     cold = filled.where(F.col("kinds") <= hot).select(*columns).repartition("h").sortWithinPartitions("h").mapInArrow(_shard_sort(length, shard_bytes), RANGES)
-    crowd = filled.where(F.col("kinds") > hot).select(*columns).mapInArrow(_window_hashes(length), "w1 long, w2 long, h long, p long, q long, o int, m long")
+    crowd = filled.where(F.col("kinds") > hot).select(*columns).mapInArrow(_window_hashes(length), "w1 long, w2 long, h long, p long, o int, m long")
     twice = crowd.groupBy("w1", "w2").agg(F.sum("m").alias("n")).where("n > 1").select("w1", "w2")
-    warm = crowd.where("m = 1").join(twice, ["w1", "w2"], "left_semi").select("h", "p", "q", F.array(F.struct(F.col("o").alias("a"), (F.col("o") + length).alias("b"))).alias("ranges"))
+    warm = crowd.where("m = 1").join(twice, ["w1", "w2"], "left_semi").select("h", "p", F.array(F.struct(F.col("o").alias("a"), (F.col("o") + length).alias("b"))).alias("ranges"))
     verdicts = whole.unionByName(cold).unionByName(warm)
-    placed = pieces.join(verdicts, ["h", "p", "q"]).select(*key, F.transform("ranges", lambda r: F.struct((r.a + F.col("s")).alias("a"), (r.b + F.col("s")).alias("b"))).alias("ranges"))
+    placed = pieces.join(verdicts, ["h", "p"]).select(*key, F.transform("ranges", lambda r: F.struct((r.a + F.col("s")).alias("a"), (r.b + F.col("s")).alias("b"))).alias("ranges"))
     by_doc = placed.groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    return docs.select(*key, F.col(text).alias("whole")).join(by_doc, key, "left").withColumnRenamed("whole", text)
+    return bodies.join(by_doc, key, "left").withColumnRenamed("whole", text)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -247,7 +240,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     out = ranged.select("k1", "body", "ranges").mapInArrow(run, "k1 string, n_bytes long, spans array<struct<a:long,b:long>>, kept binary")
     return out.select(F.when(F.col("k1") != "\x00", F.col("k1")).cast(kind).alias(id_col), "n_bytes", "spans", "kept")
-
-
-def digest(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
