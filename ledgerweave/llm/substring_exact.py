@@ -38,7 +38,7 @@ from ledgerweave.plans.checkpoint import cut
 LENGTH = 200
 GRAM = 64
 HOT = 4096
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20  # sorting takes about 60 bytes for each
 PIECES = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("p", T.LongType())]))
 
 
