@@ -4,7 +4,8 @@ Each stage takes what the one before kept and returns the columns of documents;
 Results are defined for empty tables, nulls in any column and extra columns, as the operators' docstrings state:
 
 * ``language``: rows without a letter (null and empty texts included) are rejected, all others stay;
-* ``near_duplicates``: of each group one row stays, the one of the smallest id;
+* ``near_duplicates``: of each group (five-word shingles, a similarity of about 0.8 or more) one row stays, the one of
+  the smallest id;
 * ``decontaminate``: rows of which a twentieth or more lies inside benchmark phrases go;
 * ``personal_data``: spans are replaced by their kind;
 * ``mix``: rows are repeated to their source's target.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import arrow_text, decontaminate, langid, mixing, pii, simhash
+from ledgerweave.llm import arrow_text, decontaminate, langid, mixing, pii, wide_simhash
 from ledgerweave.plans.checkpoint import cut
 
 ORACLE_SQL = None
@@ -30,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return wide_simhash.keep_first(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

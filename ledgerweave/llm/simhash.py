@@ -66,10 +66,56 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "simhash", wor
     return A.annotate(docs, text, into, T.StructType([T.StructField("bits", T.LongType())]), fn, keep)
 
 
+def _within(planes: list[int], lag: int, todo: int, radius: int) -> int:
+    """Which of the pairs ``todo`` at one lag differ in at most ``radius`` planes.
+
+    Counters begin so high that ``radius`` + 1 differences overflow them. A level adds its carries two at a time in a
+    full adder; the one that waits is added at the end, and before the pairs are looked at for abandoning the block.
+    """
+    levels = (radius + 1).bit_length() if (radius + 1) & radius else radius.bit_length()
+    start = (1 << levels) - 1 - radius
+    count = [todo if start >> k & 1 else 0 for k in range(levels)]
+    waits: list[int | None] = [None] * levels
+    over = 0
+
+    def add(carry: int, k: int) -> None:
+        nonlocal over
+        while k < levels:
+            other = waits[k]
+            if other is None:
+                waits[k] = carry
+                return
+            waits[k] = None
+            both = other ^ carry
+            count[k], carry = count[k] ^ both, (count[k] & both) | (other & carry)
+            k += 1
+        over |= carry
+
+    def settle() -> None:
+        nonlocal over
+        for k in range(levels):
+            if waits[k] is not None:
+                carry, waits[k] = waits[k], None
+                for j in range(k, levels):
+                    count[j], carry = count[j] ^ carry, count[j] & carry
+                over |= carry
+
+    step = 4 * max(1, radius // 8)
+    for b, plane in enumerate(planes):
+        add((plane ^ (plane >> lag)) & todo, 0)
+        if (b + 1) % step == 0:
+            settle()
+            todo &= ~over
+            if not todo:
+                return 0
+    settle()
+    return todo & ~over
+
+
 def bit_sliced_links(values: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the graph of values in one group at ``radius`` bits or fewer.
 
-    ``groups`` must be sorted. Every pair is compared unless both ends are connected already; the result is a forest
+    Values are 64 bits, or rows of several. ``groups`` must be sorted. Every pair is compared unless both ends are connected already; the result is a forest
     whose components are those of the full graph of each group.
     """
     n = len(values)
@@ -80,7 +126,7 @@ def bit_sliced_links(values: np.ndarray, groups: np.ndarray, radius: int = RADIU
     index = np.repeat(edge - (np.cumsum(sizes) - sizes), sizes) + np.arange(n)
     own = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.cumsum(sizes)
-    bits = values[index].view(np.uint64)
+    bits = values[index].view(np.uint64).reshape(n, -1)
     planes: list[int] = []
     parent = np.arange(n)
     left_in = sizes - 1  # links each group still lacks
@@ -96,7 +142,7 @@ def bit_sliced_links(values: np.ndarray, groups: np.ndarray, radius: int = RADIU
         return x
 
     active = int(ends[np.searchsorted(-sizes, -1, "left") - 1]) if n and sizes[0] > 1 else 0
-    planes = [as_int((bits[:active] >> np.uint64(b)) & np.uint64(1) != 0) for b in range(64)]
+    planes = [as_int((bits[:active, lane] >> np.uint64(b)) & np.uint64(1) != 0) for lane in range(bits.shape[1]) for b in range(64)]
     for lag in range(1, int(sizes[0]) if n else 0):
         larger = int(np.searchsorted(-sizes, -lag, "left"))  # groups with more than lag members
         if not larger or not left_in[:larger].any():
@@ -105,21 +151,7 @@ def bit_sliced_links(values: np.ndarray, groups: np.ndarray, radius: int = RADIU
         same = (own[lag:top] == own[: top - lag]) & (left_in[own[: top - lag]] > 0)
         if not same.any():
             continue
-        todo = as_int(same)
-        ones = twos = over = 0
-        for b, plane in enumerate(planes):
-            diff = (plane ^ (plane >> lag)) & todo
-            carry = ones & diff
-            ones ^= diff
-            over |= twos & carry
-            twos ^= carry
-            if b % 4 == 3:
-                todo &= ~over
-                if not todo:
-                    break
-        near = todo & ~over
-        if radius < 3 and near:
-            near &= ~(twos & ones) if radius == 2 else ~twos if radius == 1 else ~(twos | ones)
+        near = _within(planes, lag, as_int(same), radius)
         if not near:
             continue
         hits = np.flatnonzero(np.unpackbits(np.frombuffer(near.to_bytes((top + 7) // 8, "little"), np.uint8), bitorder="little"))
@@ -209,25 +241,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     lowest = grouped.groupBy("component").agg(F.min("low").alias("first"))
     named = grouped.join(lowest, "component").select("bits", F.col("first").alias("component"))
     return marked.join(named, "bits").select(F.col("id").alias(id_col), "bits", "component")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """The documents of which no other in their group has a smaller id; all columns are kept.
-
-    Texts link as in :func:`simhash_groups`, on shingles of five words by default. Rows of one id and one fingerprint
-    are one document and stay or go together, except exact repeats of it, of which one stays. A row of null id stays
-    only if its whole group has none, one row then.
-    """
-    name = A.fresh(docs.columns, "simhash_mark")
-    group, first = A.fresh([*docs.columns, name], "simhash_group"), A.fresh([*docs.columns, name], "simhash_first")
-    marked = fingerprints(docs, text, name, words)
-    marked = cut(marked)
-    bits = marked.select(F.col(f"`{name}`.bits").alias("bits"))
-    labels = connected_components(near_links(bits.distinct()), "a", "b")
-    known = labels.select(F.col("node").alias(f"{group}_bits"), F.col("component").alias(group))
-    marked = marked.withColumn(f"{name}_bits", F.col(f"`{name}`.bits")).drop(name)
-    joined = marked.join(known, F.col(f"{name}_bits") == F.col(f"{group}_bits"), "left").withColumn(group, F.coalesce(group, f"{name}_bits")).drop(f"{name}_bits", f"{group}_bits")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rank = F.struct(F.col(f"`{id_col}`").isNull().alias("n"), F.col(f"`{id_col}`").alias("i"))
-    one = joined.groupBy(group).agg(F.min_by(row, F.struct(rank, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))).alias(first))
-    return one.select(*[F.col(f"`{first}`.`{c}`").alias(c) for c in docs.columns])
