@@ -187,7 +187,7 @@ def repeated_ranges(docs: DataFrame, text: str, key: list[str], length: int = LE
         item = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(c, pa.int32()), pa.array(h), pa.array(p)], ["s", "c", "h", "p"])
         return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), item)]
 
-    found = A.annotate(docs, text, "pieces", T.StructType([T.StructField("list", PIECES)]), emit, key)
+    found = cut(A.annotate(docs, text, "pieces", T.StructType([T.StructField("list", PIECES)]), emit, key))  # one row per text; read twice
     pieces = found.select(*key, F.inline("pieces.list"))
     again = cut(pieces.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))  # cut, so that the join below can split a hot owner
     pieces = cut(pieces.join(again, "h", "left_semi"))
