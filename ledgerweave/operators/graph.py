@@ -165,3 +165,29 @@ def neighbourhood(ledger: Ledger, wallets: DataFrame) -> DataFrame:
 
 def top_risky(risks: DataFrame, k: int = 12, score: Column | None = None) -> DataFrame:
     return risks.orderBy((score if score is not None else F.col("final_risk")).desc(), "wallet").limit(k)
+
+
+def subgraph(ledger: Ledger, risks: DataFrame, k: int = 12, most: int = 150) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the view around the ``k`` riskiest wallets.
+
+    Nodes: id, kind, label, size, risk, is_seed, pattern_type. Beyond ``most`` nodes, half as many wallets stay, the
+    riskiest, and half as many transactions, the smallest ids. Edges join the nodes that stay.
+    """
+    rated = risks.select("wallet", F.round("final_risk", 6).alias("risk"))
+    top = rated.orderBy(F.col("risk").desc(), "wallet").limit(k).select("wallet")
+    near = cut(neighbourhood(ledger, top))
+    wallets = near.where("kind = 'wallet'").select(F.col("node").alias("wallet")).join(rated, "wallet", "left").fillna(0.0, ["risk"])
+    txs = near.where("kind = 'tx'").select(F.col("node").alias("txid"))
+    if near.count() > most:
+        wallets = wallets.orderBy(F.col("risk").desc(), "wallet").limit(most // 2)
+        txs = txs.orderBy("txid").limit(most // 2)
+    seeds = top.withColumn("is_seed", F.lit(True))
+    wallets, txs = cut(wallets.join(seeds, "wallet", "left").fillna(False, ["is_seed"])), cut(txs.join(ledger.txs.select("txid", "pattern_type"), "txid"))
+    name = F.col("wallet").cast("string")
+    shown = wallets.select(name.alias("id"), F.lit("wallet").alias("kind"), F.concat(F.substring(name, 1, 10), F.lit("...")).alias("label"), (15 + 20 * F.col("risk") + F.when(F.col("is_seed"), 8).otherwise(0)).alias("size"), "risk", "is_seed", F.lit(None).cast("string").alias("pattern_type"))
+    tx = F.col("txid").cast("string")
+    nodes = shown.unionByName(txs.select(tx.alias("id"), F.lit("tx").alias("kind"), F.concat(F.lit("TX:"), F.substring(tx, 1, 8)).alias("label"), F.lit(10.0).alias("size"), F.lit(None).cast("double").alias("risk"), F.lit(False).alias("is_seed"), "pattern_type"))
+    inside = ledger.edges().join(txs, "txid", "left_semi").join(wallets, "wallet", "left_semi")
+    spends = F.col("side") == "in"
+    edges = inside.select(F.when(spends, name).otherwise(tx).alias("source"), F.when(spends, tx).otherwise(name).alias("target"), F.when(spends, "spends").otherwise("pays").alias("label"))
+    return nodes, edges

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.scalar import ip_geo, risk_color
-from ledgerweave.operators import features, forest, graph, metrics, risk
+from ledgerweave.operators import features, forest, graph, metrics, risk, validation
+from ledgerweave.plans.checkpoint import cut
 from ledgerweave.sources.ledger import Ledger, from_orders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -437,3 +438,68 @@ def anomaly_reasons(ledger: Ledger) -> DataFrame:
 def chain_probabilities(ledger: Ledger) -> DataFrame:
     rows = graph.chain_features(ledger, graph.peeling_chains(ledger))
     return forest.classify(rows).select("chain", "label", "probability")
+
+
+_VIEW_SQL = """, rated AS (SELECT wallet, round(final_risk, 6) AS risk FROM risks), top12 AS (SELECT wallet FROM rated ORDER BY risk DESC, wallet LIMIT 12),
+vtx AS (SELECT txid, row_number() OVER (ORDER BY txid) AS place FROM (SELECT DISTINCT txid FROM edges WHERE wallet IN (SELECT wallet FROM top12))),
+vw AS (SELECT wallet, risk, row_number() OVER (ORDER BY risk DESC, wallet) AS place FROM rated WHERE wallet IN (SELECT wallet FROM edges WHERE txid IN (SELECT txid FROM vtx))),
+big AS (SELECT (SELECT count(*) FROM vtx) + (SELECT count(*) FROM vw) > 150 AS b),
+kw AS (SELECT wallet, risk, wallet IN (SELECT wallet FROM top12) AS is_seed FROM vw, big WHERE NOT b OR place <= 75), kt AS (SELECT txid FROM vtx, big WHERE NOT b OR place <= 75)
+"""
+
+
+@_query(
+    _VIEW_SQL
+    + """SELECT CAST(wallet AS VARCHAR) AS id, 'wallet' AS kind, substr(CAST(wallet AS VARCHAR), 1, 10) || '...' AS label, round(15 + 20 * risk + CASE WHEN is_seed THEN 8 ELSE 0 END, 4) AS size,
+  '#' || lower(lpad(printf('%x', CAST(floor(40 + 190 * risk) AS INTEGER)), 2, '0') || lpad(printf('%x', CAST(floor(180 - 150 * risk) AS INTEGER)), 2, '0')) || '3c' AS color, CASE WHEN is_seed THEN 3 ELSE 1 END AS border FROM kw
+UNION ALL SELECT CAST(txid AS VARCHAR), 'tx', 'TX:' || substr(CAST(txid AS VARCHAR), 1, 8), 10, CASE WHEN coalesce(pattern_type, 'normal') = 'normal' THEN '#999999' ELSE '#333333' END, 1 FROM kt JOIN txs USING (txid)"""
+)
+def subgraph_nodes(ledger: Ledger) -> DataFrame:
+    nodes, _ = graph.subgraph(ledger, _risks(ledger))
+    plain = F.when(F.coalesce("pattern_type", F.lit("normal")) == "normal", "#999999").otherwise("#333333")
+    return nodes.select("id", "kind", "label", _r("size", 4), F.when(F.col("kind") == "wallet", risk_color(F.col("risk"))).otherwise(plain).alias("color"), F.when(F.col("is_seed"), 3).otherwise(1).alias("border"))
+
+
+@_query(
+    _VIEW_SQL
+    + """SELECT CASE side WHEN 'in' THEN CAST(wallet AS VARCHAR) ELSE CAST(txid AS VARCHAR) END AS source, CASE side WHEN 'in' THEN CAST(txid AS VARCHAR) ELSE CAST(wallet AS VARCHAR) END AS target, CASE side WHEN 'in' THEN 'spends' ELSE 'pays' END AS label
+FROM edges WHERE wallet IN (SELECT wallet FROM kw) AND txid IN (SELECT txid FROM kt)"""
+)
+def subgraph_edges(ledger: Ledger) -> DataFrame:
+    return graph.subgraph(ledger, _risks(ledger))[1]
+
+
+def _chain_rows(ledger: Ledger) -> DataFrame:
+    return cut(graph.chain_features(ledger, graph.peeling_chains(ledger)))
+
+
+@_query(
+    _CHAIN_SQL
+    + """, ruled AS (SELECT chain, max(CAST(marked AS INTEGER)) AS y, CAST(count(*) >= 3 AS INTEGER) AS p FROM hopped GROUP BY chain),
+c AS (SELECT count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) FILTER (y = 1 AND p = 1) AS tp FROM ruled)
+SELECT tn, fp, fn, tp, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM c"""
+)
+def chain_rule_report(ledger: Ledger) -> DataFrame:
+    """The report over a rule in place of a model: chains of three hops or more."""
+    rows = graph.chain_features(ledger, graph.peeling_chains(ledger)).withColumn("predicted", (F.col("hop_count") >= 3).cast("int"))
+    return validation.report(rows).select("tn", "fp", "fn", "tp", _r("precision"), _r("recall"), _r("f1"))
+
+
+@_query(None)
+def chain_hold_out(ledger: Ledger) -> DataFrame:
+    return validation.report(validation.hold_out(_chain_rows(ledger)))
+
+
+@_query(None)
+def chain_leave_one_out(ledger: Ledger) -> DataFrame:
+    return validation.report(validation.leave_one_out(_chain_rows(ledger)))
+
+
+@_query(None)
+def chain_importances(ledger: Ledger) -> DataFrame:
+    return validation.importances(_chain_rows(ledger))
+
+
+@_query(None)
+def chain_reasons(ledger: Ledger) -> DataFrame:
+    return validation.explain_chains(_chain_rows(ledger))

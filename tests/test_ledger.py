@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.scalar import ip_geo, md5_mod, noisy_or, risk_color
-from ledgerweave.operators import features, forest, graph, metrics
+from ledgerweave.operators import features, forest, graph, metrics, validation
 from ledgerweave.operators.components import connected_components
 from ledgerweave.plans import catalog
 from ledgerweave.sources.ledger import RECORD, from_records
@@ -94,3 +94,35 @@ def test_shap_values_add_up():
     x = np.random.default_rng(0).normal(size=(200, 4))
     model = forest.Forest(list("abcd"), [forest.grow(x[:64], i) for i in range(10)], 64)
     assert np.allclose(model.shap(x).sum(1), model.base_depth() - model.depth(x))
+
+
+def chain_table(spark, n):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, *(float(v) for v in rng.normal(size=len(forest.CHAIN_FEATURES)) + 3 * (i % 2))) for i in range(n)]
+    return spark.createDataFrame(rows, "chain long, label int, " + ", ".join(f"{c} double" for c in forest.CHAIN_FEATURES))
+
+
+def test_chain_validation(spark):
+    rows = chain_table(spark, 40)
+    held = validation.stratified(rows).where("held").groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in held} == {0: 6, 1: 6}
+    for scored in (validation.hold_out(rows), validation.leave_one_out(rows, trees=20)):
+        got = validation.report(scored).first()
+        assert got.precision > 0.8 and got.recall > 0.8 and got.tn + got.fp + got.fn + got.tp == scored.count()
+    assert sum(r.importance for r in validation.importances(rows).collect()) == pytest.approx(1)
+    assert validation.hold_out(chain_table(spark, 12)).count() == 0
+    with pytest.raises(ValueError, match="hold_out"):
+        validation.leave_one_out(rows, most=39)
+
+
+def test_chain_validation_of_no_rows_and_one_class(spark):
+    none = chain_table(spark, 2).limit(0)
+    assert validation.leave_one_out(none).count() == 0 and validation.explain_chains(none).count() == 0
+    assert validation.report(validation.hold_out(none)).first().asDict() == {"tn": 0, "fp": 0, "fn": 0, "tp": 0, "precision": 0.0, "recall": 0.0, "f1": 0.0}
+    assert {r.importance for r in validation.importances(chain_table(spark, 20).where("label = 1")).collect()} == {0.0}
+
+
+def test_chain_reasons_add_up(spark):
+    out = validation.explain_chains(chain_table(spark, 30)).toPandas()
+    total = out[[f"shap_{c}" for c in forest.CHAIN_FEATURES]].sum(axis=1) - out["predicted_probability"]
+    assert np.allclose(total, total.iloc[0]) and out.loc[out.label == 1, "shap_reason"].str.startswith("Driven by").all()
