@@ -92,7 +92,7 @@ def signatures(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return prints, keys
 
 
-def wide_fingerprints(docs: DataFrame, text: str, into: str, words: int = 5) -> DataFrame:
+def wide_fingerprints(docs: DataFrame, text: str, into: str, words: int = 5, keep: list[str] | None = None) -> DataFrame:
     """Append struct ``into`` of the fingerprint's four longs and its band keys."""
 
     def fn(data: np.ndarray, offsets: np.ndarray) -> list:
@@ -100,7 +100,7 @@ def wide_fingerprints(docs: DataFrame, text: str, into: str, words: int = 5) ->
         starts = pa.array(np.arange(len(offsets)) * BANDS, pa.int32())
         return [*[pa.array(prints[:, i].view(np.int64)) for i in range(LANES)], pa.ListArray.from_arrays(starts, pa.array(keys.ravel().view(np.int64)))]
 
-    return A.annotate(docs, text, into, SIGNATURE, fn)
+    return A.annotate(docs, text, into, SIGNATURE, fn, keep)
 
 
 def _compare(radius: int):
@@ -156,16 +156,17 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", word
     id and text are one document: of exact repeats one stays. A row of null id stays only if its whole group has none,
     one row then. An empty table gives an empty result.
     """
-    name = A.fresh(docs.columns, "simhash_mark")
-    node = A.fresh([*docs.columns, name], "simhash_node")
-    group = A.fresh([*docs.columns, name, node], "simhash_group")
-    marked = wide_fingerprints(docs, text, name, words)
-    marked = cut(marked.withColumn(node, F.xxhash64(*[F.col(f"`{name}`.{f}") for f in _FIELDS])))
-    prints = marked.select(F.col(f"`{node}`").alias("node"), *[F.col(f"`{name}`.{f}").alias(f) for f in _FIELDS], F.col(f"`{name}`.keys").alias("keys"))
-    labels = connected_components(wide_links(prints, radius), "a", "b")
-    known = labels.select(F.col("node").alias(node), F.col("component").alias(group))
-    grouped = marked.drop(name).join(known, node, "left").withColumn(group, F.coalesce(F.col(f"`{group}`"), F.col(f"`{node}`")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rank = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.xxhash64(*columns))
-    one = grouped.groupBy(F.col(f"`{group}`").alias("g")).agg(F.min_by(F.struct(*columns), rank).alias("first"))
-    return one.select(*[F.col(f"first.`{c}`").alias(c) for c in docs.columns])
+    hashed = [*columns, *[c.isNull() for c in columns]]
+    names = [A.fresh(docs.columns, f"simhash_row{i}") for i in (1, 2)]
+    rows = docs.select(*columns, F.xxhash64(*hashed).alias(names[0]), F.xxhash64(F.lit("second"), *hashed).alias(names[1]))
+    # who stays is decided on narrow rows; the text is shuffled once, to the rows chosen
+    narrow = rows.select(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), *[F.col(n).alias(k) for n, k in zip(names, ("h1", "h2"), strict=True)]).alias("rank"), F.col(f"`{text}`").alias("body"))
+    marked = wide_fingerprints(narrow, "body", "mark", words, ["rank"])
+    marked = cut(marked.select("rank", F.xxhash64(*[f"mark.{f}" for f in _FIELDS]).alias("node"), "mark.*"))
+    labels = connected_components(wide_links(marked.drop("rank"), radius), "a", "b")
+    lowest = marked.groupBy("node").agg(F.min("rank").alias("rank"))
+    grouped = lowest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    chosen = grouped.groupBy("component").agg(F.min("rank").alias("rank")).select(*[F.col(f"rank.{k}").alias(n) for n, k in zip(names, ("h1", "h2"), strict=True)])
+    kept = rows.join(chosen, names, "left_semi").groupBy(*names).agg(F.first(F.struct(*columns)).alias("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
