@@ -15,7 +15,7 @@ component (null if it has none); an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -112,11 +112,12 @@ def _within(planes: list[int], lag: int, todo: int, radius: int) -> int:
     return todo & ~over
 
 
-def bit_sliced_links(values: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def bit_sliced_links(values: np.ndarray, groups: np.ndarray, radius: int = RADIUS, agree: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the graph of values in one group at ``radius`` bits or fewer.
 
     Values are 64 bits, or rows of several. ``groups`` must be sorted. Every pair is compared unless both ends are connected already; the result is a forest
-    whose components are those of the full graph of each group.
+    whose components are those of the full graph of each group. A pair for which ``agree`` (given the rows' numbers) is
+    false is no link.
     """
     n = len(values)
     edge = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))) if n else np.zeros(0, np.int64)
@@ -157,7 +158,7 @@ def bit_sliced_links(values: np.ndarray, groups: np.ndarray, radius: int = RADIU
         hits = np.flatnonzero(np.unpackbits(np.frombuffer(near.to_bytes((top + 7) // 8, "little"), np.uint8), bitorder="little"))
         for i in hits[parent[hits] != parent[hits + lag]].tolist():
             a, b = root(i), root(i + lag)
-            if a != b:
+            if a != b and (agree is None or agree(int(index[i]), int(index[i + lag]))):
                 parent[max(a, b)] = min(a, b)
                 left_in[own[i]] -= 1
                 out_a.append(i)

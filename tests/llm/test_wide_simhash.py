@@ -55,3 +55,17 @@ def test_near_copies_go_and_clean_documents_stay(spark, hot, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id for r in wide_simhash.keep_first(frame).collect()}
     assert got == first | clean | {9000, 9002, 9004}
+
+
+def test_similarity_of_the_contract_decides_exactly(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: ["w" + str(x) for x in rng.integers(0, 10**6, n)]
+    rows, want = [], set()
+    for g in range(80):
+        base = words(184)  # 180 shingles; k changed words at the end leave 180 - k of 180 + k in common
+        rows.append((3 * g, " ".join(base)))
+        rows.append((3 * g + 1, " ".join(base[:164] + words(20))))  # 160 of 200: 0.8
+        rows.append((3 * g + 2, " ".join(words(26) + base[26:])))  # 154 of 206: 0.748
+        want |= {3 * g, 3 * g + 2}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in wide_simhash.keep_first(frame).collect()} == want
