@@ -20,10 +20,10 @@ from pyspark.sql.window import Window
 
 PIECE = 48
 EXACT = 8
-#: Three 21-bit lanes to a word; 21 words for each hash.
+#: Three 21-bit lanes to a word; 21 words for each of two hashes.
 FIELDS = 0x0000040000200001
 SHIFTS = 21
-HASHES = 1
+HASHES = 2
 LANES = SHIFTS * 3 * HASHES
 LOW21 = (1 << 21) - 1
 ROWS_PER_RANGE = 2000

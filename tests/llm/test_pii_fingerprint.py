@@ -116,3 +116,12 @@ def test_half_kept_texts_are_nearer_than_the_next(spark):
     longer = got[got.n_chars > 400]
     assert (longer.near_edited > 0.25).mean() > 0.97
     assert (longer.near_edited > longer.near_next).mean() > 0.97
+
+
+def test_unrelated_texts_are_far_apart(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join("w" + str(x) for x in rng.integers(0, 10**6, 200)) for _ in range(1500)]
+    frame = rows(spark, texts).select(F.col("text").alias("a"), F.reverse("text").alias("b"))
+    frame = fingerprint.add_vector(fingerprint.add_vector(frame, F.col("a"), "u"), F.col("b"), "v")
+    near = frame.select(fingerprint.likeness(F.col("u"), F.col("v")).alias("near")).toPandas().near
+    assert (near**2).mean() ** 0.5 < 0.076  # 126 lanes: about 0.063; 63 lanes: about 0.089
