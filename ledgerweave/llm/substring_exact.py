@@ -4,15 +4,17 @@ Every byte covered by a string of ``length`` = 200 bytes that starts at two or m
 that length is owned by its rightmost minimal 64-byte gram, which depends on the window's bytes alone, so equal
 windows meet under equal grams. Consecutive windows with one owner form a piece. Then:
 
-1. a scan emits the pieces (owner hash, hash of the whole piece, place);
+1. a scan emits the pieces (owner hash, hash of the whole piece, place), reading texts in overlapping stretches;
 2. owners that occur once are dropped (partial counts, then a semi join that can split a hot owner);
-3. equal pieces are counted by partial aggregation, so thousands of copies become one row; a piece that occurs twice
-   is a repeat as a whole and needs no sorting;
-4. an owner with several different pieces goes to a content shard, whose concatenated pieces are suffix-sorted by
-   induced sorting; neighbours in the array whose permuted common prefix reaches the length are repeats. An owner
-   with more than ``HOT`` different pieces (a passage in a large share of all documents, with other text around it)
-   is dealt out by the hashes of its windows and counted there;
-5. the repeated ranges return to the documents by piece, and are cut out.
+3. equal pieces are counted by partial aggregation, so thousands of copies become one row with a count;
+4. one copy of each piece goes to a content shard, the shard of its owner; adjoining pieces of one text whose owners
+   have no other piece go there as one stretch. A shard is suffix-sorted by induced sorting; equal windows are runs of
+   the array whose permuted common prefixes reach the length, and a run that stands for two or more places repeats;
+5. an owner with more than ``HOT`` different pieces (a passage in a large share of all documents, with other text
+   around it) is divided first: its windows are dealt out by their distance to the gram, ``BLOCK`` distances at a
+   time, and the bytes that all windows at these distances have; what is still hot is dealt out window by window. Equal
+   windows stay together and are counted again, and the parts are sorted like any other shard;
+6. the repeated ranges return to the documents by piece, and are cut out.
 
 Pieces of repeated owners are written once to the shared folder; both joins with the text read one exchange. Nothing
 is collected.
@@ -37,8 +39,10 @@ from ledgerweave.plans.checkpoint import cut
 
 LENGTH = 200
 GRAM = 64
-HOT = 4096
-SHARD_BYTES = 1 << 20  # sorting takes about 60 bytes for each
+HOT = 1024
+BLOCK = 8
+SHARD_BYTES = 1 << 19  # sorting takes about 60 bytes for each
+SCAN_BYTES = 1 << 18  # and the scan about 90
 PIECES = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("p", T.LongType())]))
 
 
@@ -79,6 +83,19 @@ def owners(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     return row[begin], begin - offsets[row[begin]], stop - begin, low[begin].view(np.int64), pieces.view(np.int64)
 
 
+def scanned(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, limit: int = SCAN_BYTES) -> tuple[np.ndarray, ...]:
+    """:func:`owners` of stretches of ``limit`` windows, so that memory does not grow with a text; cuts divide pieces."""
+    made = []
+    for a in range(0, max(1, len(data) - length + 1), limit):
+        part = data[a : a + limit + length - 1]
+        lo = int(np.searchsorted(offsets, a, "right")) - 1
+        hi = max(lo + 1, int(np.searchsorted(offsets, a + len(part), "left")))
+        own = np.clip(offsets[lo : hi + 1] - a, 0, len(part))
+        row, s, c, h, p = owners(part, own, length, gram)
+        made.append((row + lo, s + a + own[row] - offsets[lo + row], c, h, p))
+    return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
+
 def _range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of ranges of values, from hashes of power-of-two blocks."""
     span, power, width = values, np.uint64(0xD6E8FEB86659FD93), 1
@@ -95,25 +112,30 @@ def _range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
         width *= 2
 
 
-def sorted_repeats(pieces: list[bytes], windows: np.ndarray, counts: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each piece, which of its windows occur twice or more in all pieces, each piece counted ``counts`` times."""
-    sizes = np.array([len(p) + 1 for p in pieces])
-    flat = np.frombuffer(b"\x00".join(pieces) + b"\x00", np.uint8).astype(np.int64) + 2
+def sorted_repeats(bodies: list[bytes], segments: list[list[tuple[int, int, int]]], length: int) -> list[list[np.ndarray]]:
+    """For each segment (first window, windows, count) of each body, which of its windows occur twice or more.
+
+    A window occurs as often as its segment counts, in all bodies together. Segments of a body do not overlap.
+    """
+    sizes = np.array([len(b) + 1 for b in bodies])
+    flat = np.frombuffer(b"\x00".join(bodies) + b"\x00", np.uint8).astype(np.int32) + 2
     ends = np.cumsum(sizes)
     flat[ends - 1] = 1
-    s = np.append(flat, 0)
+    s = np.append(flat, np.int32(0))
     sa = suffix_array(s)
     plcp = common_prefixes(s, sa, 1)
-    owner = np.repeat(np.arange(len(pieces)), sizes)
-    place = np.arange(len(flat)) - (ends - sizes)[owner]
-    valid = np.append(place < windows[owner], False)
+    times = np.zeros(len(s), np.int64)
+    for begin, parts in zip((ends - sizes).tolist(), segments, strict=True):
+        for o, c, m in parts:
+            times[begin + o : begin + o + c] = m
     # groups of equal windows are runs of the array
-    run = np.cumsum(plcp[sa] < length)
-    mine = valid[sa]
-    weight = np.bincount(run[mine], counts[owner[sa[mine]]].astype(float), minlength=int(run[-1]) + 1)
+    run = np.cumsum(plcp[sa] < length, dtype=np.int32)
+    mine = times[sa] > 0
+    run, at = run[mine], sa[mine]
+    weight = np.bincount(run, times[at].astype(float))
     repeated = np.zeros(len(s), bool)
-    repeated[sa[mine]] = weight[run[mine]] > 1
-    return [repeated[e - z : e - z + w] for e, z, w in zip(ends, sizes, windows, strict=True)]
+    repeated[at] = weight[run] > 1
+    return [[repeated[b + o : b + o + c] for o, c, _ in parts] for b, parts in zip((ends - sizes).tolist(), segments, strict=True)]
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,67 +144,155 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 RANGES = "h long, p long, ranges array<struct<a:int,b:int>>"
+#: Text to sort: the owner that places it, its number of different pieces, and the pieces in it.
+ROWS = "h long, kinds long, body binary, segs array<struct<o:int,c:int,m:long,h:long,p:long>>"
+_SEGS = pa.list_(pa.struct([("o", pa.int32()), ("c", pa.int32()), ("m", pa.int64()), ("h", pa.int64()), ("p", pa.int64())]))
+
 
+def _bodies(length: int, shard_bytes: int):
+    """Rows (whole, list of s, c, h, p, m, kinds) to ROWS; adjoining pieces without rivals share a row."""
 
-def _as_ranges(h: list, p: list, masks: list[np.ndarray], length: int) -> pa.RecordBatch:
-    rows = [[{"a": int(a), "b": int(b) + length - 1} for a, b in zip(*runs(m), strict=True)] for m in masks]
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(p, pa.int64()), pa.array(rows, kind)], ["h", "p", "ranges"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for whole, pieces in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                text = memoryview(whole.as_buffer())
+                held: list[dict] = []
+
+                def close() -> None:
+                    if held:
+                        first, last = held[0]["s"], held[-1]["s"] + held[-1]["c"] + length - 1  # noqa: B023
+                        segs = [{"o": x["s"] - first, "c": x["c"], "m": x["m"], "h": x["h"], "p": x["p"]} for x in held]  # noqa: B023
+                        out.append((held[0]["h"], held[0]["kinds"], bytes(text[first:last]), segs))  # noqa: B023
+                        held.clear()  # noqa: B023
+
+                for x in sorted(pieces, key=lambda x: x["s"]):
+                    near = held and x["kinds"] == held[0]["kinds"] == 1 and x["s"] == held[-1]["s"] + held[-1]["c"]
+                    if not near or x["s"] + x["c"] - held[0]["s"] > shard_bytes // 2:
+                        close()
+                    held.append(x)
+                close()
+                if len(out) > 2000:
+                    yield _as_rows(out)
+                    out = []
+            yield _as_rows(out)
 
+    return run
 
-def _shard_sort(length: int, shard_bytes: int):
-    """Suffix-sort runs of whole owners of at most about ``shard_bytes``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+def _as_rows(out: list[tuple]) -> pa.RecordBatch:
+    h, kinds, body, segs = zip(*out, strict=True) if out else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kinds, pa.int64()), pa.array(body, pa.binary()), pa.array(segs, _SEGS)], ["h", "kinds", "body", "segs"])
 
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            h, p, c, m, body = zip(*rows, strict=True)
-            masks = sorted_repeats(list(body), np.array(c), np.array(m), length)
-            hit = [i for i, x in enumerate(masks) if m[i] == 1 and x.any()]
-            return _as_ranges([h[i] for i in hit], [p[i] for i in hit], [masks[i] for i in hit], length)
 
+def _shard_sort(length: int, shard_bytes: int):
+    """ROWS sorted by owner to RANGES: runs of whole owners, of ``shard_bytes`` or of one owner, are suffix-sorted."""
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        seen: set[tuple[int, int]] = set()  # a row of a repeated id comes once for each of its texts' copies
+        rows = [x for x in rows if (k := (x[1][0]["h"], x[1][0]["p"])) not in seen and not seen.add(k)]
+        masks = sorted_repeats([x[0] for x in rows], [[(g["o"], g["c"], g["m"]) for g in x[1]] for x in rows], length)
+        h, p, ranges = [], [], []
+        for (_, segs), each in zip(rows, masks, strict=True):
+            for g, mask in zip(segs, each, strict=True):
+                if mask.any():
+                    h.append(g["h"])
+                    p.append(g["p"])
+                    ranges.append([{"a": a, "b": b + length - 1} for a, b in zip(*(x.tolist() for x in runs(mask)), strict=True)])
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(p, pa.int64()), pa.array(ranges, kind)], ["h", "p", "ranges"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # whole owners
+        owner: list[tuple] = []
+        size = own = 0
+        last = None
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                if size > shard_bytes and row[0] != held[-1][0]:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield flush(held)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                for h, body, segs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if h != last:
+                        held, size = held + owner, size + own
+                        owner, own, last = [], 0, h
+                    owner.append((body, segs))
+                    own += len(body)
+                    if held and size + own > shard_bytes:
+                        yield flush(held)
+                        held, size = [], 0
+        if held + owner:
+            yield flush(held + owner)
 
     return run
 
 
-def _window_hashes(length: int):
-    """The windows of pieces, as pairs of hashes with piece and offset."""
+def _divide(length: int, gram: int, block: int):
+    """Hot pieces (ROWS) to their windows, ``block`` distances from the gram at a time (1: window by window)."""
+    width = length - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, p, c, m, body = (batch.column(i).to_pylist() for i in range(5))
-            for i in range(0, len(h), 512):
-                parts = [np.frombuffer(b, np.uint8) for b in body[i : i + 512]]
-                one = [A.mix64(A.grams(A.BYTE_KEYS[x], length)) for x in parts]
-                two = [A.mix64(A.grams(A.BYTE_KEYS[x ^ 0x55], length)) for x in parts]
-                n = np.array([len(x) for x in one])
-                spread = lambda v, i=i, n=n: np.repeat(np.array(v[i : i + 512], np.int64), n)
-                off = np.concatenate([np.arange(k) for k in n])
-                yield pa.RecordBatch.from_arrays([np.concatenate(one).view(np.int64), np.concatenate(two).view(np.int64), spread(h), spread(p), pa.array(off, pa.int32()), spread(m)], ["w1", "w2", "h", "p", "o", "m"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                bodies = part.column(0).to_pylist()
+                rows = [x[0] for x in part.column(1).to_pylist()]
+                data = np.frombuffer(b"".join(bodies), np.uint8)
+                at = np.cumsum([0, *[len(b) for b in bodies]])
+                values = A.BYTE_KEYS[data]
+                hashes = A.mix64(A.grams(values, gram)).view(np.int64) if block > 1 else None
+                made: list[tuple[int, int, int, int, int]] = []  # row, first window, windows, first byte of what they share, least distance
+                for k, x in enumerate(rows):
+                    if block == 1:
+                        made += [(k, w, 1, w, 0) for w in range(x["c"])]
+                        continue
+                    spot = int(np.flatnonzero(hashes[at[k] : at[k] + width] == x["h"])[-1])  # the rightmost in the first window
+                    w = 0
+                    while w < x["c"]:
+                        low = (spot - w) // block * block
+                        stop = min(x["c"], spot - low + 1)
+                        made.append((k, w, stop - w, spot - low, low))
+                        w = stop
+                own, first, count, core, far = np.array(made).T
+                begin = at[own]
+                inner = _range_hashes(values, begin + core, begin + core + length - block + 1)
+                same = _range_hashes(values, begin + first, begin + first + count + length - 1)
+                pick = lambda name, rows=rows, own=own: np.array([x[name] for x in rows], np.int64)[own]
+                key = A.mix64(A.mix64(inner + far.astype(np.uint64)) + pick("h").view(np.uint64) * A.BASE)
+                kind = A.mix64(same * A.BASE + (core - first).astype(np.uint64))
+                body = [bodies[k][w : w + n + length - 1] for k, w, n, _, _ in made]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pick("h")), pa.array(pick("p")), pa.array(first.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(count.astype(np.int32)), pa.array(pick("m")), pa.array(body, pa.binary())],
+                    ["h", "p", "o", "h2", "p2", "c", "m", "body"],
+                )
 
     return run
 
 
+def _decided(rows: DataFrame, crowded: DataFrame, length: int, gram: int, hot: int, shard_bytes: int, level: int = 0) -> DataFrame:
+    """RANGES of all pieces of ``rows`` (ROWS); ``crowded`` tells cheaply whether an owner is hot."""
+    cold = rows.where(F.col("kinds") <= hot).select("h", "body", "segs").repartition("h").sortWithinPartitions("h").mapInArrow(_shard_sort(length, shard_bytes), RANGES)
+    blocks = (min(BLOCK, length - gram + 1), 1)
+    if level == len(blocks) or not crowded.where(F.col("kinds") > hot).limit(1).count():
+        return cold
+    parts = rows.where(F.col("kinds") > hot).select("body", "segs").mapInArrow(_divide(length, gram, blocks[level]), "h long, p long, o int, h2 long, p2 long, c int, m long, body binary")
+    parts = cut(parts)
+    merged = parts.groupBy("h2", "p2").agg(F.sum("m").alias("m"), F.first("c").alias("c"), F.first("body").alias("body"))
+    number = merged.groupBy("h2").agg(F.count("*").alias("kinds"))
+    seg = F.struct(F.lit(0).alias("o"), "c", "m", F.col("h2").alias("h"), F.col("p2").alias("p"))
+    below = cut(merged.join(number, "h2").select(F.col("h2").alias("h"), "kinds", "body", F.array(seg).alias("segs")))
+    found = _decided(below, below, length, gram, hot, shard_bytes, level + 1).select(F.col("h").alias("h2"), F.col("p").alias("p2"), "ranges")
+    back = parts.select("h", "p", "o", "h2", "p2").join(found, ["h2", "p2"])
+    return cold.unionByName(back.select("h", "p", F.transform("ranges", lambda r: F.struct((r.a + F.col("o")).alias("a"), (r.b + F.col("o")).alias("b"))).alias("ranges")))
+
+
 def repeated_ranges(docs: DataFrame, text: str, key: list[str], length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` columns plus ``ranges``: byte ranges of each text that repeat (unsorted, may overlap).
+    """``docs`` columns plus ``ranges``: byte ranges of each text (binary) that repeat (unsorted, may overlap).
 
     ``key`` columns must be equal only for rows of equal text.
     """
     gram = min(GRAM, length)
 
     def emit(data: np.ndarray, offsets: np.ndarray) -> list:
-        row, s, c, h, p = owners(data, offsets, length, gram)
+        row, s, c, h, p = scanned(data, offsets, length, gram)
         at = np.searchsorted(row, np.arange(len(offsets)))
         item = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(c, pa.int32()), pa.array(h), pa.array(p)], ["s", "c", "h", "p"])
         return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), item)]
@@ -192,26 +302,22 @@ def repeated_ranges(docs: DataFrame, text: str, key: list[str], length: int = LE
     again = cut(pieces.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))  # cut, so that the join below can split a hot owner
     pieces = cut(pieces.join(again, "h", "left_semi"))
     kinds = pieces.groupBy("h", "p").agg(F.count("*").alias("m"), F.min(F.struct(*key, "s", "c")).alias("at"))
-    spread = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    whole = kinds.where("m > 1").select("h", "p", F.array(F.struct(F.lit(0).alias("a"), (F.col("at.c") + length - 1).alias("b"))).alias("ranges"))
-    unsure = kinds.join(spread, "h").select("h", "p", "m", "kinds", *[F.col(f"at.{k}").alias(k) for k in [*key, "s", "c"]])
-    bodies = docs.select(*key, F.col(text).alias("whole"))  # the same subtree twice: one exchange serves both joins
-    filled = bodies.join(unsure, key).select("h", "p", "c", "m", F.expr(f"substring(cast(whole as binary), s + 1, c + {length - 1})").alias("body"), "kinds")
-    columns = ["h", "p", "c", "m", "body"]
-    cold = filled.where(F.col("kinds") <= hot).select(*columns).repartition("h").sortWithinPartitions("h").mapInArrow(_shard_sort(length, shard_bytes), RANGES)
-    crowd = filled.where(F.col("kinds") > hot).select(*columns).mapInArrow(_window_hashes(length), "w1 long, w2 long, h long, p long, o int, m long")
-    twice = crowd.groupBy("w1", "w2").agg(F.sum("m").alias("n")).where("n > 1").select("w1", "w2")
-    warm = crowd.where("m = 1").join(twice, ["w1", "w2"], "left_semi").select("h", "p", F.array(F.struct(F.col("o").alias("a"), (F.col("o") + length).alias("b"))).alias("ranges"))
-    verdicts = whole.unionByName(cold).unionByName(warm)
+    spread = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
+    judged = kinds.join(spread, "h").select("h", "p", "m", "kinds", *[F.col(f"at.{k}").alias(k) for k in [*key, "s", "c"]])
+    judged = cut(judged.where("kinds > 1 or m > 1"))
+    asked = judged.groupBy(*key).agg(F.collect_list(F.struct("s", "c", "h", "p", "m", "kinds")).alias("list"))  # at most a text's pieces
+    bodies = docs.select(*key, F.col(text).cast("binary").alias("whole"))  # the same subtree twice: one exchange serves both joins
+    filled = bodies.join(asked, key).select("whole", "list").mapInArrow(_bodies(length, shard_bytes), ROWS)
+    verdicts = _decided(filled, judged, length, gram, hot, shard_bytes)
     placed = pieces.join(verdicts, ["h", "p"]).select(*key, F.transform("ranges", lambda r: F.struct((r.a + F.col("s")).alias("a"), (r.b + F.col("s")).alias("b"))).alias("ranges"))
     by_doc = placed.groupBy(*key).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     return bodies.join(by_doc, key, "left").withColumnRenamed("whole", text)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per document: the id, ``n_bytes``, ``spans`` (array of removed byte ranges ``a``, ``b``) and ``kept`` (binary)."""
     keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\x00")).alias("k1"), F.xxhash64(F.col(f"`{text}`")).alias("k2"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
-    ranged = repeated_ranges(keyed, "body", ["k1", "k2"], length, hot)
+    ranged = repeated_ranges(keyed, "body", ["k1", "k2"], length, hot, shard_bytes)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +326,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 spans, kept, size = [], [], []
-                for body, ranges in zip(part.column(1).to_pylist(), part.column(at).to_pylist(), strict=True):
-                    raw = body.encode()
+                for body, ranges in zip(part.column(1), part.column(at).to_pylist(), strict=True):
+                    raw = memoryview(body.as_buffer())
                     cut: list[list[int]] = []
                     for r in sorted((x["a"], x["b"]) for x in ranges or ()):
                         if cut and r[0] <= cut[-1][1]:

@@ -1,13 +1,11 @@
 """Brute force, defined cases and held-out accuracy of the document operators."""
 
-from collections import Counter, defaultdict
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerweave.llm import decontaminate, langid, mixing, passages, queries, simhash, substring_exact
+from ledgerweave.llm import decontaminate, langid, mixing, passages, queries, simhash
 from ledgerweave.llm.suffix_array import common_prefixes, suffix_array
 
 SMALL = "/root/testdata/sf0.001"
@@ -64,26 +62,6 @@ def test_suffix_arrays_and_common_prefixes():
             assert got[a] == n
 
 
-@pytest.mark.parametrize("hot", [1, 4096])
-def test_repeated_bytes_match_counting_all_windows(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_exact, "GRAM", 8)
-    rng = np.random.default_rng(hot)
-    pool = ["".join(rng.choice(list("abcdé"), int(rng.integers(5, 60)))) for _ in range(10)]
-    rows = [(i, "".join(pool[int(rng.integers(10))] if rng.random() < 0.5 else "".join(rng.choice(list("abcdefghij"), 20)) for _ in range(int(rng.integers(0, 6))))) for i in range(50)]
-    rows += [(5, rows[5][1]), (77, "a" * 70), (78, "ab" * 40), (79, None)]
-    count = Counter(r[i : i + 20] for _, t in rows for r in [(t or "").encode()] for i in range(len(r) - 19))
-    got = defaultdict(list)
-    for r in substring_exact.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=20, hot=hot).collect():
-        got[r.doc_id].append(bytes(r.kept))
-    for i, t in rows:
-        raw = (t or "").encode()
-        mask = np.zeros(len(raw), bool)
-        for j in range(len(raw) - 19):
-            if count[raw[j : j + 20]] > 1:
-                mask[j : j + 20] = True
-        assert bytes(np.frombuffer(raw, np.uint8)[~mask]) in got[i]
-
-
 @pytest.mark.parametrize("hot", [2, 2048])
 def test_simhash_links_match_all_pairs(spark, hot):
     rng = np.random.default_rng(0)
