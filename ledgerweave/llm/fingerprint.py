@@ -2,32 +2,35 @@
 
 A paragraph is a line. Its wide vector has EXACT lanes of 32 bits, hashed from the whole line, and SKETCH lanes, each
 the sum over the line's pieces (at most ``PIECE`` code points) of one bit of the piece's hash. A document's
-fingerprint is the lane-wise sum over its paragraphs, exact lanes modulo 2^32 and sketch lanes modulo 2^21, so it does
+fingerprint is the lane-wise sum over its paragraphs, exact lanes modulo 2^32 and sketch lanes modulo 2^20, so it does
 not depend on the paragraphs' order, and a paragraph is inserted or deleted by adding or subtracting its vector
 (:func:`combine`). Equal multisets of paragraphs have equal fingerprints. A sketch lane counts ones among n fair bits,
-so the cosine of the centred lanes estimates how much two multisets of pieces share.
+so the cosine of the centred lanes (read as signed numbers of 21 bits, as they are small beside n) estimates how much
+two multisets of pieces share.
 
 Defined cases: null and empty texts have no paragraphs and the zero fingerprint; likeness is 1 for equal fingerprints
-and 0 if only one is zero; ids may repeat (ties follow the text) or be null (they come first); one document is its own
-next; an empty table gives an empty result.
+and 0 if only one is zero; ids may repeat (ties follow the text's hash, then the text) or be null (they come first);
+one document is its own next; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 PIECE = 48
 EXACT = 8
-#: Three 21-bit lanes to a word; 21 words for each of two hashes.
+#: Three lanes of 20 bits to a word, each below a bit that takes the carry and is cleared; 21 words for each of two hashes.
 FIELDS = 0x0000040000200001
+KEPT = FIELDS * ((1 << 20) - 1)
 SHIFTS = 21
 HASHES = 2
 LANES = SHIFTS * 3 * HASHES
-LOW21 = (1 << 21) - 1
+LOW20 = (1 << 20) - 1
 ROWS_PER_RANGE = 2000
-MAX_RANGES = 2048
+MAX_RANGES = 1 << 16
 
 
 def add_vector(frame: DataFrame, text: Column, into: str) -> DataFrame:
@@ -36,7 +39,7 @@ def add_vector(frame: DataFrame, text: Column, into: str) -> DataFrame:
     Lines, pieces and their hashes are columns of their own, so that each is made once however many lanes read it.
     """
     seeded = lambda seed: lambda x: F.xxhash64(F.lit(seed), x)  # noqa: E731  (a lambda's second argument is the index)
-    field = lambda b: lambda a, h: a + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(FIELDS))
+    field = lambda b: lambda a, h: (a + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(FIELDS))).bitwiseAND(F.lit(KEPT))
     name = lambda i: f"{into}_made_{i}"
     body = F.coalesce(text, F.lit(""))
     frame = frame.withColumns({name("lines"): F.filter(F.split(body, "\n"), lambda x: x != ""), name("pieces"): F.regexp_extract_all(body, F.lit(rf"[^\n]{{1,{PIECE}}}"), F.lit(0))})
@@ -52,10 +55,10 @@ def add_vector(frame: DataFrame, text: Column, into: str) -> DataFrame:
 
 
 def _lanes(v: Column) -> Column:
-    """Centred sketch lanes: twice the ones, less the pieces."""
+    """Centred sketch lanes: twice the ones, less the pieces, modulo 2^21 and signed."""
     words = F.slice(v, EXACT + 1, SHIFTS * HASHES)
     n = F.element_at(v, -1)
-    part = lambda s: F.transform(words, lambda w: F.shiftrightunsigned(w, s).bitwiseAND(F.lit(LOW21)) * 2 - n)
+    part = lambda s: F.transform(words, lambda w: (F.shiftrightunsigned(w, s).bitwiseAND(F.lit(LOW20)) * 2 - n + LOW20 + 1).bitwiseAND(F.lit(2 * LOW20 + 1)) - (LOW20 + 1))
     return F.concat(part(0), part(21), part(42))
 
 
@@ -70,12 +73,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint vector with the paragraphs of ``b`` added (sign 1) or taken away (sign -1), lane by lane."""
-    one = lambda w, v, s: F.shiftrightunsigned(w, s).bitwiseAND(F.lit(LOW21)) + sign * F.shiftrightunsigned(v, s).bitwiseAND(F.lit(LOW21))
+    one = lambda w, v, s: F.shiftrightunsigned(w, s).bitwiseAND(F.lit(LOW20)) + sign * F.shiftrightunsigned(v, s).bitwiseAND(F.lit(LOW20))
 
     def lane(u: Column, v: Column, i: Column) -> Column:
         packed = F.lit(0).cast("long")
         for s in (0, 21, 42):
-            packed = packed.bitwiseOR(F.shiftleft(one(u, v, s).bitwiseAND(F.lit(LOW21)), s))
+            packed = packed.bitwiseOR(F.shiftleft(one(u, v, s).bitwiseAND(F.lit(LOW20)), s))
         return F.when(i < EXACT, (u + sign * v).bitwiseAND(F.lit(0xFFFFFFFF))).when(i == EXACT + SHIFTS * HASHES, u + sign * v).otherwise(packed)
 
     zipped = F.zip_with(a, b, lambda u, v: F.struct(u.alias("u"), v.alias("v")))
@@ -89,38 +92,76 @@ def as_text(v: Column) -> Column:
     return F.concat(exact, F.lit(":"), rest)
 
 
-def _ranges(docs: DataFrame, id_col: str) -> Column:
-    """A number that grows with the id and deals the rows evenly: how many of the id's quantiles are not above it.
+def _number(docs: DataFrame, id_col: str) -> tuple[Column, bool]:
+    """A number that never falls as the id rises, and whether it tells ids apart.
 
-    At most ``MAX_RANGES`` quantiles reach the driver.
+    It is the number or time itself; for others the seven bytes after what the least and the greatest id share.
     """
-    stats = docs.agg(F.count("*").alias("n"), F.count(id_col).alias("known")).first()
-    ranges = min(MAX_RANGES, stats["n"] // ROWS_PER_RANGE + 1)
-    if ranges < 2 or not stats["known"]:
-        return F.lit(0)
-    cuts = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first()["q"]
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c <= F.col(id_col))), F.lit(0))
+    column, kind = F.col(f"`{id_col}`"), docs.schema[id_col].dataType
+    if isinstance(kind, (T.IntegralType, T.DoubleType, T.FloatType)):
+        return column.cast("long" if isinstance(kind, T.IntegralType) else "double"), True
+    if isinstance(kind, T.DecimalType):
+        return column.cast("double"), False
+    if isinstance(kind, (T.TimestampType, T.DateType)):
+        return F.unix_micros(column.cast("timestamp")), True
+    ends = docs.agg(F.min(column.cast("string")).alias("a"), F.max(column.cast("string")).alias("b")).first()
+    a, b = ((ends[c] or "").encode() for c in "ab")
+    shared = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    seven = F.substring(F.concat(F.hex(F.substring(column.cast("string").cast("binary"), shared + 1, 7)), F.lit("0" * 14)), 1, 14)
+    return F.conv(seven, 16, 10).cast("long"), False
+
+
+def _ranges(docs: DataFrame, id_col: str, tie: Column) -> Column:
+    """A number that grows with the id, then ``tie`` (0 to 1), and deals the rows evenly.
+
+    It is the number of the id's quantiles below it; a number that is several quantiles is dealt out by ``tie``, and so
+    are null ids, which come first. At most ``MAX_RANGES`` quantiles reach the driver, one for ``ROWS_PER_RANGE`` rows.
+    """
+    number, exact = _number(docs, id_col)
+    stats = docs.agg(F.count("*").alias("n"), F.count(number).alias("known")).first()
+    none = min(MAX_RANGES, (stats["n"] - stats["known"]) // ROWS_PER_RANGE)
+    ranges = min(MAX_RANGES, stats["known"] // ROWS_PER_RANGE + 1)
+    unknown = F.floor(tie * none).cast("int")
+    if ranges < 2:
+        return F.when(number.isNull(), unknown).otherwise(F.lit(none))
+    shares = ", ".join(f"{i / ranges}D" for i in range(1, ranges))
+    cuts = docs.select(number.alias("number")).agg(F.expr(f"percentile_approx(number, array({shares}), {20 * ranges})").alias("q")).first()["q"]
+    kind = "double" if isinstance(cuts[0], float) else "bigint"
+    known = F.split(F.lit(",".join(map(repr, sorted(cuts)))), ",").cast(f"array<{kind}>")  # one literal
+
+    def search(below) -> Column:  # how many quantiles are below, by bisection
+        def step(at: Column, k: Column) -> Column:
+            to = at + F.pow(F.lit(2), k).cast("int")
+            return F.when((to <= len(cuts)) & below(F.try_element_at(known, to)), to).otherwise(at)
+
+        return F.aggregate(F.array(*[F.lit(k) for k in range(len(cuts).bit_length() - 1, -1, -1)]), F.lit(0), step)
+
+    less, upto = search(lambda c: c < number), search(lambda c: c <= number)
+    place = less + F.when(upto > less, F.lit(1) + F.least(F.floor(tie * (upto - less)).cast("int"), upto - less - 1)).otherwise(F.lit(0)) if exact else less
+    return F.when(number.isNull(), unknown).otherwise(place + none).cast("int")
 
 
 def with_next(docs: DataFrame, id_col: str, text: str, into: str = "fp") -> DataFrame:
     """id, text, fingerprint ``into``, and ``next_text`` and ``next_<into>`` of the following row by id, then text.
 
-    Rows are dealt to id ranges and ordered within them; a range's last row takes the first row of the next range
-    that has rows, and the last row of all the first of all. Those first rows, at most ``MAX_RANGES``, are found by
-    their ids and broadcast.
+    Rows are dealt to id ranges and ordered within them. The first row of a range is also dealt, as a guest that is
+    dropped at the end, to the range before it, and that of the first range to the last one. These rows are found by
+    their ids, one of each range, which are broadcast.
     """
-    plain = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("part", _ranges(docs, id_col))
-    order = [F.col(id_col).asc_nulls_first(), F.col(text).asc()]
-    window = Window.partitionBy("part").orderBy(*order)
-    led = add_vector(plain, F.col(text), into).withColumn("next_row", F.lead(F.struct(text, into)).over(window))
-    low = plain.groupBy("part").agg(F.min(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("v"))).alias("low"))
-    firsts = plain.join(F.broadcast(low), "part").where(F.col(id_col).eqNullSafe(F.col("low.v"))).groupBy("part").agg(F.min(text).alias(text))
-    firsts = add_vector(firsts, F.col(text), into).select("part", F.struct(text, into).alias("first"))
+    digest = F.xxhash64(F.lit("tie"), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    tie = F.shiftrightunsigned(digest, 11).cast("double") / float(1 << 53)
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"), F.shiftrightunsigned(digest, 11).alias("tie"), _ranges(docs, id_col, tie).alias("part"))
+    key = F.struct(F.col("id").isNotNull().alias("known"), "id", "tie")
+    low = plain.groupBy("part").agg(F.min(key).alias("low"))
     turn = Window.orderBy("part")
-    after = firsts.select("part", F.coalesce(F.lead("first").over(turn), F.first("first").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    joined = led.join(F.broadcast(after), "part", "left").withColumn("next_row", F.coalesce("next_row", "after"))
-    return joined.select(id_col, text, into, F.col(f"next_row.{text}").alias("next_text"), F.col(f"next_row.{into}").alias(f"next_{into}"))
+    every = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    low = low.select("low", "part", F.coalesce(F.lag("part").over(turn), F.last("part").over(every)).alias("to"))  # one row a range
+    guests = plain.drop("part").join(F.broadcast(low.select("to", F.col("low.id").alias("low_id"), F.col("low.tie").alias("low_tie"))), (F.col("tie") == F.col("low_tie")) & F.col("id").eqNullSafe(F.col("low_id")))
+    guests = guests.groupBy("to").agg(F.min(F.struct("id", "tie", "body")).alias("row")).select("row.id", "row.body", "row.tie", F.col("to").alias("part"), F.lit(True).alias("guest"))
+    window = Window.partitionBy("part").orderBy("guest", F.col("id").asc_nulls_first(), "tie", "body")
+    made = add_vector(plain.withColumn("guest", F.lit(False)).unionByName(guests), F.col("body"), into)
+    led = made.withColumn("next_row", F.lead(F.struct("body", into)).over(window)).where(~F.col("guest"))
+    return led.select(F.col("id").alias(id_col), F.col("body").alias(text), into, F.col("next_row.body").alias(f"next_{text}"), F.col(f"next_row.{into}").alias(f"next_{into}"))
 
 
 def edited(text: Column, following: Column) -> Column:

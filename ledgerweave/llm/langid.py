@@ -5,8 +5,9 @@ that both have, over the geometric mean of how many each has. Nyström landmarks
 K(x, landmarks) K(landmarks, landmarks)^(-1/2); one-versus-rest kernel ridge regression on these features is solved in
 closed form. Both maps are linear in the presence vector, so a batch of texts is scored by matrix products.
 
-The model is fitted on a bounded, hash-chosen sample of labelled rows (``SAMPLE`` per language at most in
-expectation); every row is scored, on its whole text.
+The model is fitted on a bounded sample of different labelled texts, chosen by the texts' hashes: about ``SAMPLE`` of each
+language at most, and about ``SAMPLE_ROWS`` in all, which many languages share alike. Every row is scored, on its whole
+text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the smaller language code; if
 no labelled row exists every text is ``und``; rows with equal texts get equal results; an empty table gives none.
@@ -23,9 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerweave.llm import arrow_text as A
+from ledgerweave.plans.checkpoint import cut
 
 BUCKETS = 1 << 15
 SAMPLE = 400
+SAMPLE_ROWS = 16000
+BROADCAST_ROWS = 100_000
 LANDMARKS = 192
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -80,12 +84,15 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fit(sample: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Nyström features at evenly dealt landmarks, then ridge regression against each language's indicator."""
+    """Nyström features at evenly dealt landmarks, then ridge regression against each language's indicator.
+
+    ``sample`` has the packed presence bits of a text in each row; they are unpacked in blocks.
+    """
     languages = sorted(set(labels))
-    y = np.array([[lab == lang for lang in languages] for lab in labels], np.float64)
+    y = (np.array(labels, object)[:, None] == np.array(languages, object)).astype(np.float64)
 
     def unit(rows: np.ndarray) -> np.ndarray:
-        p = rows.astype(np.float32)
+        p = np.unpackbits(rows, axis=1).astype(np.float32)
         return p / np.sqrt(np.maximum(p.sum(1, keepdims=True), 1))
 
     pick = np.unique(np.linspace(0, len(labels) - 1, min(landmarks, len(labels))).astype(int))
@@ -101,30 +108,32 @@ def fit(sample: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge
     return LanguageModel(languages, base.T @ (half @ beta).astype(np.float32))
 
 
-def fit_languages(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> LanguageModel | None:
-    """Fit on rows of ``where`` with a language and a letter; about ``sample`` rows of each language, by hash.
+def fit_languages(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = SAMPLE_ROWS) -> LanguageModel | None:
+    """Fit on rows of ``where`` with a language and a letter; about ``sample`` different texts of each language.
 
-    What reaches the driver is one packed bit vector of 4 KiB per sampled row, whatever the texts' length.
+    If that is more than ``most`` in all, each language gets an equal share of ``most``. A text is drawn by its own hash,
+    so neither null nor repeated ids matter, and is taken once however often it occurs. What reaches the driver is one packed bit vector of 4 KiB per sampled row, whatever the texts' length.
     """
-    known = docs.where(where).where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(id_col).alias("id"), F.col(text).alias("body"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
-    if not counts:
+    known = docs.where(where).where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("body"))
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = counts.count()
+    if not languages:
         return None
-    top = 1 << 30
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col("id")), F.lit(top))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(top * min(1.0, sample / n))))])
-    chosen = known.where(draw < F.coalesce(share[F.col("lang")], F.lit(0)))
+    share = counts.select("lang", (F.lit(min(sample, most / languages)) / F.col("n")).alias("share"))
+    share = F.broadcast(share) if languages <= BROADCAST_ROWS else share
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("language sample"), "body"), 11).cast("double") / float(1 << 53)
+    chosen = known.join(share, "lang").where(draw < F.col("share")).select("lang", "body").distinct()
 
     def pack(data: np.ndarray, offsets: np.ndarray) -> list:
         bits, has = _in_blocks(data, offsets, lambda d, o: (lambda p, h: (np.packbits(p.astype(bool), axis=1), h))(*presence(d, o)))
         return [pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(has)]
 
     kind = T.StructType([T.StructField("bits", T.BinaryType()), T.StructField("has", T.BooleanType())])
-    rows = A.annotate(chosen, "body", "made", kind, pack, ["lang", "id"]).where("made.has").select("lang", "id", "made.bits").collect()
+    rows = A.annotate(chosen, "body", "made", kind, pack, ["lang"]).where("made.has").select("lang", "made.bits").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (bytes(r["bits"])[:64], r["lang"], bytes(r["bits"])))
-    bits = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
+    bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint8).reshape(len(rows), -1)
     return fit(bits, [r["lang"] for r in rows])
 
 

@@ -2,13 +2,13 @@
 
 Sizes are summed per source (partial sums first, so a hot source is a few rows per task). A source's repetition rate
 is its target over its size; each document is emitted floor(rate) times, plus once more when a hash of the seed and
-the document falls below the rate's fraction. Targets fill to the sources' weights under a cap per source: the level
+the document (its id and text) falls below the rate's fraction. Targets fill to the sources' weights under a cap per source: the level
 L at which the sum of min(cap, weight * L) is the total.
 
 Defined cases: null text has size 0; a null source is a source of its own and comes last; sources without words have
-target 0; equal rows get equal draws; an empty table gives an empty mix. The per-source table has one row per source
-and is ranked in one task; documents meet it by a join on the source, which broadcasts only a table that the planner
-knows to be small.
+target 0; rows equal in id and text get equal draws; an empty table gives an empty mix; an input column named as the
+result is replaced. The per-source table has one row per source and is ranked in one task; documents meet it by a join on
+the source, which broadcasts the table if it has at most ``BROADCAST_ROWS`` sources.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerweave.llm import arrow_text as A
+from ledgerweave.plans.checkpoint import cut
 
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
+BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,9 +55,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     return rest.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def draw(document: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the seed and the document's name."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(document.cast("string"), F.lit("null"))))
+def draw(document: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from the seed, the document's name and its text."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(document.cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long").cast("double") / F.lit(float(1 << 48))
 
 
@@ -64,10 +66,11 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sour
     name = A.fresh(docs.columns, "mix_size")
     sized = docs.withColumn(name, word_count(F.col(f"`{text}`")))
     sums = sized.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum(name).alias("source_size"))
-    goals = source_targets(sums, weights, max_repeat).select(F.struct("source", "source_size", "target").alias("goal"))
+    goals = cut(source_targets(sums, weights, max_repeat).select(F.struct("source", "source_size", "target").alias("goal")))
+    goals = F.broadcast(goals) if goals.count() <= BROADCAST_ROWS else goals
     joined = sized.join(goals, F.col(f"`{source}`").eqNullSafe(F.col("goal.source")))
     rate = F.when(F.col("goal.source_size") > 0, F.col("goal.target") / F.col("goal.source_size").cast("double")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(F.col(f"`{id_col}`"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(draw(F.col(f"`{id_col}`"), F.col(f"`{text}`"), seed) < rate - F.floor(rate), 1).otherwise(0)
     struct = F.struct(F.col(name).alias("size"), F.col("goal.source_size").alias("source_size"), F.col("goal.target").alias("target"), copies.cast("long").alias("copies"))
     return joined.withColumn(into, struct).select(*[F.col(f"`{c}`") for c in docs.columns if c != into], into)
 

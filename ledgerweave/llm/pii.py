@@ -3,11 +3,12 @@
 Base kinds: email, ip (four parts up to 255), card (12 to 19 digits that pass Luhn) and phone (international form, 9
 to 15 digits). Added kinds: iban (mod-97) and secret (a quoted or bare key of 20 or more word characters next to a
 word such as token or password). Every span has a score: a kind's base score, raised when one of the kind's context
-words stands within ``NEAR`` characters before it, lowered for patterns without one.
+words stands within ``NEAR`` characters before it (and after the pattern's match before), lowered without one.
 
 The expressions are written so that matching is linear: runs are possessive or start-anchored by look-behind, and no
 group that could backtrack repeats often, so very long texts neither backtrack nor overflow the stack. Positions are
-code points; they come from the lengths of matches and of the pieces between them.
+code points; they come from the lengths of matches and of the pieces between them. Running sums and maxima go by
+blocks of the square root of the matches, and text is cut from chunks, so no step looks at all matches for each match.
 
 Defined cases: null text counts as empty and has no spans; matches that fail their check are dropped and not retried;
 base spans always stay, added spans that overlap a base span are dropped; an empty table gives an empty result.
@@ -15,12 +16,15 @@ base spans always stay, added spans that overlap a base span are dropped; an emp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import arrow_text as A
 
 NEAR = 40
+CHUNK = 512
 KINDS = ("email", "ip", "card", "phone", "iban", "secret")
 BASE_KINDS = KINDS[:4]
 
@@ -30,24 +34,49 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])(?:[0-9][ -]?){11,18}[0-9](?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
-SECRET = r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api_key|apikey|access_key)(?: {0,2}[=:] {0,2})[\"']?[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])"
+SECRET = r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api_key|apikey|access_key)(?: {0,2}[=:] {0,2})[\"']?[A-Za-z0-9+/_-]{20,}+"
 BYTE_PART = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 SCORES = {"email": 0.95, "ip": 0.7, "card": 0.8, "phone": 0.75, "iban": 0.9, "secret": 0.8}
 CONTEXT = {"email": "mail|contact|write", "ip": "ip|address|host|server|login", "card": "card|visa|credit|debit|pay|karte|carte|tarjeta", "phone": "phone|tel|call|fax|mobile|contact", "iban": "iban|bank|account|konto|compte|cuenta", "secret": "token|secret|password|key"}
 
 
-def _proposals(text: Column, pattern: str) -> Column:
-    """Array of struct(t, s): the matches and their first code points."""
-    pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.array().cast("array<struct<t:string,s:int>>").alias("out"), F.lit(0).alias("at"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often ``body`` and lambdas in it read it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's longs, those before it joined (0 for the first): sums or maxima, in n * sqrt(n) steps."""
+    zero = F.lit(0).cast("long")
+
+    def scan(items: Column, begin: Column) -> Column:
+        first = F.struct(F.array().cast("array<bigint>").alias("out"), begin.alias("at"))
+        step = lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), join(acc["at"], x).alias("at"))
+        return F.aggregate(items, first, step, lambda acc: acc["out"])
+
+    def by_blocks(v: Column, width: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(v) / width).cast("int") - 1, F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(v, i * width + 1, width))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, scan(F.transform(b, lambda x: F.aggregate(x, zero, join)), zero), scan)))
+
+    return let(values, lambda v: let(F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1)), lambda w: by_blocks(v, w)))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["p"])
-        return F.struct(F.concat(acc["out"], F.array(F.struct(x["t"].alias("t"), begin.alias("s")))).alias("out"), (begin + F.length(x["t"])).alias("at"))
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, t: F.struct(p.alias("p"), t.alias("t")))
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+def _most(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _proposals(text: Column, pattern: str) -> Column:
+    """Array of struct(t, s, before): the matches, their first code points, and the text that stands before them."""
+    pieces = F.split(text, pattern, -1)
+    pair = lambda p, t: F.struct(t.alias("t"), F.right(p, F.lit(NEAR)).alias("before"), F.length(p).cast("long").alias("gap"), (F.length(p) + F.length(t)).cast("long").alias("both"))
+    pairs = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, pair))
+    place = lambda x, a: F.struct(x["t"].alias("t"), (a + x["gap"]).cast("int").alias("s"), x["before"].alias("before"))
+    return let(pairs, lambda all_: F.zip_with(all_, running(F.transform(all_, lambda x: x["both"]), _plus), place))
 
 
 def _digits(t: Column) -> Column:
@@ -89,8 +118,7 @@ def _spans(text: Column, kind: str, pattern: str, guard: Column) -> Column:
     words = CONTEXT[kind]
 
     def span(x: Column) -> Column:
-        before = F.substr(text, F.greatest(x["s"] + 1 - NEAR, F.lit(1)), F.least(x["s"], F.lit(NEAR)))
-        near = F.lower(before).rlike(f"(?:{words})") if kind != "secret" else F.lit(True)
+        near = F.lower(x["before"]).rlike(f"(?:{words})") if kind != "secret" else F.lit(True)
         score = F.least(F.lit(SCORES[kind]) + F.when(near, 0.15).otherwise(-0.05), F.lit(1.0))
         return F.struct(x["s"].alias("s"), (x["s"] + F.length(x["t"])).alias("e"), F.lit(KINDS.index(kind)).alias("k"), F.lit(kind).alias("kind"), score.cast("double").alias("score"))
 
@@ -98,7 +126,10 @@ def _spans(text: Column, kind: str, pattern: str, guard: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, text: str = "text", into: str = "pii", least: float = 0.0) -> DataFrame:
-    """Append array ``into`` of structs (s, e, k, kind, score), sorted by start and kind; ``least`` bounds added kinds."""
+    """Append array ``into`` of structs (s, e, k, kind, score), sorted by start and kind; ``least`` bounds added kinds.
+
+    An input column named ``into`` is replaced.
+    """
     body = A.fresh([*docs.columns, into], "pii_text")
     base, more = A.fresh([*docs.columns, into, body], "pii_base"), A.fresh([*docs.columns, into, body], "pii_more")
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -112,27 +143,42 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "pii", least: floa
     )
     added = F.concat(_spans(t, "iban", IBAN, digits & t.rlike("[A-Z]{2}[0-9]{2}")), _spans(t, "secret", SECRET, t.rlike("(?i)token|secret|passw|_key|apikey")))
     frame = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != into], whole.alias(body)).withColumns({base: base_spans, more: added})
-    free = F.filter(F.col(more), lambda x: (x["score"] >= least) & ~F.exists(F.col(base), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    merged = F.array_sort(F.concat(F.col(base), free))
+    free = F.filter(F.col(more), lambda x: x["score"] >= least)
+    merged = F.array_sort(F.concat(F.col(base), F.when(F.size(more) > 0, _apart(free, F.col(base))).otherwise(F.col(more))))
     return frame.withColumn(into, merged).drop(body, base, more)
 
 
+def _apart(spans: Column, base: Column) -> Column:
+    """The ``spans`` that overlap none of ``base``: the base spans that begin before a span's end must end by its start."""
+    event = lambda at, asks, stop, x: F.struct(at.alias("at"), F.lit(asks).alias("asks"), stop.cast("long").alias("stop"), x.alias("x"))
+    begins = F.transform(base, lambda b: event(b["s"], 1, b["e"], b))
+    asked = F.transform(spans, lambda x: event(x["e"], 0, F.lit(0), x))
+    events = F.array_sort(F.concat(begins, asked))
+    with_reach = lambda v, r: F.struct(v["asks"].alias("asks"), v["x"].alias("x"), r.alias("reach"))
+    both = let(events, lambda all_: F.zip_with(all_, running(F.transform(all_, lambda v: v["stop"]), _most), with_reach))
+    return F.transform(F.filter(both, lambda v: (v["asks"] == 0) & (v["reach"] <= v["x"]["s"])), lambda v: v["x"])
+
+
 def redact(docs: DataFrame, text: str = "text", least: float = 0.0) -> DataFrame:
     """The text with every span replaced by its kind in angle brackets; other columns unchanged.
 
     Of overlapping spans the earlier start wins and the text between is covered up to the later end.
     """
     name = A.fresh(docs.columns, "pii_found")
+    parts = A.fresh([*docs.columns, name], "pii_chunks")
     found = find_pii(docs, text, name, least)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    body = F.col(f"`{text}`")
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["s"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substr(body, acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), x["kind"], F.lit(">"))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
-
-    clean = F.aggregate(F.col(name), start, step, lambda acc: F.concat(acc["out"], F.substr(body, acc["at"] + 1, F.length(body))))
+    spans, chunks, body = F.col(name), F.col(parts), F.col(f"`{text}`")
+
+    def piece(begin: Column, end: Column) -> Column:
+        first = F.floor(begin / CHUNK).cast("int")
+        near = F.array_join(F.slice(chunks, first + 1, F.floor(end / CHUNK).cast("int") - first + 1), "")
+        return F.substr(near, (begin - first * CHUNK + 1).cast("int"), F.greatest(end - begin, F.lit(0)))
+
+    ends = running(F.transform(spans, lambda x: x["e"].cast("long")), _most)
+    placed = F.filter(F.zip_with(spans, ends, lambda x, a: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), a.cast("int").alias("at"))), lambda x: x["s"] >= x["at"])
+    marked = F.array_join(F.transform(placed, lambda x: F.concat(piece(x["at"], x["s"]), F.lit("<"), x["kind"], F.lit(">"))), "")
+    clean = F.concat(marked, piece(F.array_max(F.transform(spans, lambda x: x["e"])), F.length(body)))
+    found = found.withColumn(parts, F.when(F.size(name) > 0, F.regexp_extract_all(body, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))))
     value = F.when(F.size(name) > 0, clean).otherwise(body)
     return found.select(*[(value if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 

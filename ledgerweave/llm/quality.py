@@ -137,7 +137,7 @@ class QualityModel:
 
 
 def fit_scorer(x: np.ndarray, post: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression towards soft labels by Newton steps in the sample's dual space."""
+    """Ridge regression towards the soft labels' log-odds, solved in the sample's dual space."""
     y = np.log(np.clip(post, 0.02, 0.98) / (1 - np.clip(post, 0.02, 0.98)))
     centre = float(y.mean()) if len(y) else 0.0
     gram = x @ x.T
@@ -154,7 +154,7 @@ def _votes_frame(docs: DataFrame, text: str) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> QualityModel:
-    """Vote patterns are counted over all rows; the scorer is fitted on about ``sample`` different texts."""
+    """Vote patterns are counted over all rows; the scorer is fitted on about ``sample`` different texts, drawn by hash."""
     counted = _votes_frame(docs, text).groupBy("votes.pattern").agg(F.count("*").alias("n")).collect()  # at most 3^8 rows
     codes = np.array(sorted(r["pattern"] for r in counted), np.int64)
     number = {r["pattern"]: r["n"] for r in counted}
@@ -163,8 +163,8 @@ def fit_quality(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Qu
     known = dict(zip(codes.tolist(), post.tolist(), strict=True))
     total = sum(number.values())
     top = 1 << 30
-    draw = F.pmod(F.xxhash64(F.lit("quality sample"), F.col(text)), F.lit(top))
-    chosen = docs.where(draw < int(top * min(1.0, sample / max(total, 1)))).select(F.col(text).alias("body"))
+    draw = F.pmod(F.xxhash64(F.lit("quality sample"), F.col(f"`{text}`")), F.lit(top))
+    chosen = docs.where(draw < int(top * min(1.0, sample / max(total, 1)))).select(F.col(f"`{text}`").alias("body"))
 
     def pack(data: np.ndarray, offsets: np.ndarray) -> list:
         v = votes(measures(data, offsets)) @ 3 ** np.arange(len(LABELLERS))
@@ -173,7 +173,7 @@ def fit_quality(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Qu
 
     kind = T.StructType([T.StructField("pattern", T.LongType()), T.StructField("shape", T.BinaryType())])
     rows = A.annotate(chosen, "body", "made", kind, pack, []).select("made.pattern", "made.shape").distinct().collect()
-    rows = sorted(((r["pattern"], bytes(r["shape"])) for r in rows))[: 2 * sample]
+    rows = sorted((r["pattern"], bytes(r["shape"])) for r in rows)
     x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).reshape(len(rows), BUCKETS).astype(np.float32)
     weights, shift = fit_scorer(x, np.array([known[r[0]] for r in rows]))
     return QualityModel(weights, shift, dict(zip(LABELLERS, accuracy.tolist(), strict=True)), known)

@@ -109,7 +109,7 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 _MIX_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, coalesce(text, '') AS text, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size FROM documents
 ), sums AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -131,7 +131,7 @@ WITH sized AS (
   FROM marked
 ), rated AS (
   SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / CAST(g.source_size AS DOUBLE) ELSE 0.0::DOUBLE END AS rate,
-    CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE AS u
+    CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || text), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
 )"""
 

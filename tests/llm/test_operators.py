@@ -44,7 +44,8 @@ def test_empty_tables(spark, empty_dir, name):
 def test_pipeline_on_odd_and_empty_tables(spark, odd_dir, empty_dir):
     out = corpus_pipeline.run(spark, odd_dir)
     assert {"simhash_mark", "mix_size", "copy"} <= set(out.columns)
-    assert {r.doc_id for r in out.collect()} <= {3, 4}
+    rows = out.collect()
+    assert {r.doc_id for r in rows} <= {3, 4} and {r.lang for r in rows} <= {"en"}  # 4 had no language
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
 
 
