@@ -3,8 +3,9 @@
 Each stage takes what the one before kept and returns the columns of documents; the last adds the copy's number.
 Results are defined for empty tables, nulls in any column and extra columns, as the operators' docstrings state:
 
-* ``language``: rows without a letter (null and empty texts included) are rejected, all others stay;
-* ``near_duplicates``: of each group (five-word shingles, a similarity of about 0.8 or more) one row stays, the one of
+* ``language``: rows without a letter (null and empty texts included) are rejected, all others stay, and a null language
+  becomes the predicted one;
+* ``near_duplicates``: of each group (five-word shingles, a similarity of 0.8 or more) one row stays, the one of
   the smallest id;
 * ``decontaminate``: rows of which a twentieth or more lies inside benchmark phrases go;
 * ``personal_data``: spans are replaced by their kind;
@@ -27,7 +28,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit_languages(docs, F.lit(True))
     marked = langid.identify(docs, model, into=name)
     # with nothing to learn from, nothing is rejected
-    return marked.where(F.col(f"{name}.lang") != langid.UNKNOWN).drop(name) if model else docs
+    if not model:
+        return docs
+    known = marked.where(F.col(f"{name}.lang") != langid.UNKNOWN)
+    return known.select(*[(F.coalesce("lang", f"{name}.lang").alias(c) if c == "lang" else F.col(f"`{c}`")) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,10 +11,12 @@ DIR_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is configured (tests, local mode)."""
+    """The cluster's checkpoint folder; a local one only where none is configured and the master is local."""
     configured = spark.conf.get(DIR_KEY, None) or spark.sparkContext.getConf().get(DIR_KEY)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"{DIR_KEY} must name a folder that all executors share")
     base = f"file://{tempfile.gettempdir()}/checkpoints"
     spark.conf.set(DIR_KEY, base)
     return base
