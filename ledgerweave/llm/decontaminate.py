@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per shard.
 
-A shard is a run of documents of about two MiB. Its words are numbered by the benchmark's vocabulary; words outside
+A shard is a run of documents of about one MiB. Its words are numbered by the benchmark's vocabulary; words outside
 it can be part of no match, so the shard's text is the stretches of known words that are at least as long as the
 shortest phrase, joined by separators. That text is suffix-sorted by induced sorting, its Burrows-Wheeler transform is
 stored in a wavelet tree, and all phrases (runs of ``window`` item words, or a whole shorter item) are searched

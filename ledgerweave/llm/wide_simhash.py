@@ -175,7 +175,8 @@ def wide_links(marked: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataF
 
 def exact_links(marked: DataFrame, candidates: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Links ``a, b`` of nodes of one component of ``candidates`` (node, component) that are :func:`alike`."""
-    members = marked.join(candidates, "node").groupBy("node").agg(F.min("component").alias("key"), *[F.min(f).alias(f) for f in _FIELDS], F.min("shingles").alias("shingles"))
+    # merged at every size: a plan that broadcasts small candidates would shuffle by another power of the input later
+    members = marked.join(candidates.hint("merge"), "node").groupBy("node").agg(F.min("component").alias("key"), *[F.min(f).alias(f) for f in _FIELDS], F.min("shingles").alias("shingles"))
     return _file_links(members, radius, hot, True)
 
 
