@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.scalar import ip_geo, risk_color
-from ledgerweave.operators import features, forest, graph, metrics, risk, validation
+from ledgerweave.operators import alerts, features, forest, graph, metrics, risk, validation
 from ledgerweave.plans.checkpoint import cut
 from ledgerweave.sources.ledger import Ledger, from_orders
 
@@ -22,7 +22,7 @@ _LEDGER_SQL = """WITH RECURSIVE txs AS (
 ), entities AS (SELECT c_custkey AS wallet, CAST(c_nationkey AS INTEGER) AS entity FROM customer),
 outs AS (
   SELECT l_orderkey AS txid, t.ts, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS INTEGER) AS vout,
-    l_partkey AS wallet, l_extendedprice AS amount, e.entity FROM lineitem JOIN txs t ON t.txid = l_orderkey LEFT JOIN entities e ON e.wallet = l_partkey
+    l_partkey AS wallet, l_extendedprice AS amount, e.entity, l_returnflag = 'R' AS is_change FROM lineitem JOIN txs t ON t.txid = l_orderkey LEFT JOIN entities e ON e.wallet = l_partkey
 ), ins AS (
   SELECT a.txid, a.ts, a.vin, a.wallet, a.amount, e.entity FROM (
     SELECT txid, ts, 0 AS vin, o_custkey AS wallet, o_totalprice AS amount FROM txs UNION ALL
@@ -94,7 +94,10 @@ outs AS (
 ), r3 AS (SELECT n.node, 0.55 * (coalesce(g.got, 0) + (SELECT sum(rank) FROM r2 JOIN pr USING (node) WHERE sink) * p) + 0.45 * p AS rank FROM pr n LEFT JOIN (SELECT dst, sum(rank * share) AS got FROM share JOIN r2 ON r2.node = src GROUP BY dst) g ON g.dst = n.node
 ), prop AS (SELECT CAST(substr(node, 2) AS BIGINT) AS wallet, rank / (SELECT max(rank) FROM r3 WHERE node LIKE 'w%') AS risk_propagated FROM r3 WHERE node LIKE 'w%'
 ), anom AS (SELECT wallet, (max_z - (SELECT min(max_z) FROM amounts)) / (SELECT max(max_z) - min(max_z) FROM amounts) AS risk_anomaly FROM amounts
-), peels AS (SELECT DISTINCT wallet, 0.6::DOUBLE AS risk_peeling FROM (SELECT small_wallet AS wallet FROM peel UNION SELECT large_wallet FROM peel)
+), ruled_chains AS (SELECT chain, least(1.0::DOUBLE, count(*) / 5.0::DOUBLE) AS p FROM chains GROUP BY chain
+), peels AS (
+  SELECT wallet, max(p) AS risk_peeling, arg_min(chain, {'p': -p, 'chain': chain}) AS best FROM chains JOIN ruled_chains USING (chain)
+  JOIN (SELECT txid, wallet FROM outs UNION SELECT txid, wallet FROM ins) USING (txid) GROUP BY wallet
 ), risks AS (
   SELECT t.*, coalesce(risk_propagated, 0) AS rp, coalesce(risk_anomaly, 0) AS ra, coalesce(risk_peeling, 0) AS rc, wallet IN (SELECT wallet FROM seeds) AS is_seed,
     1 - (1 - coalesce(risk_propagated, 0)) * (1 - coalesce(risk_anomaly, 0)) * (1 - coalesce(risk_peeling, 0)) AS final_risk FROM touch t LEFT JOIN prop USING (wallet) LEFT JOIN anom USING (wallet) LEFT JOIN peels USING (wallet)
@@ -245,8 +248,8 @@ pc AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM lab G
 """
 
 
-def _labels(ledger: Ledger) -> DataFrame:
-    found = graph.clusters(ledger, graph.co_spend_edges(ledger))
+def _labels(ledger: Ledger, edges: DataFrame | None = None) -> DataFrame:
+    found = graph.clusters(ledger, graph.co_spend_edges(ledger) if edges is None else edges)
     return found.join(graph.wallet_nodes(ledger), "wallet").select(F.col("entity").alias("truth"), F.col("cluster").alias("pred"))
 
 
@@ -328,10 +331,22 @@ def pagerank_k(ledger: Ledger) -> DataFrame:
     return _propagated(ledger).select("wallet", _r("risk_propagated"))
 
 
+def _ruled_peeling(ledger: Ledger) -> DataFrame:
+    """Peeling risk by a rule that SQL can state, in place of the forest: a fifth for each hop of the longest chain."""
+    chains = cut(graph.peeling_chains(ledger))
+    ruled = chains.groupBy("chain").agg(F.least(F.lit(1.0), F.count("*") / 5.0).alias("probability"))
+    return alerts.wallet_peeling(ledger, chains, ruled.withColumn("reason", F.concat(F.lit("chain "), F.col("chain").cast("string"))))
+
+
+@_query("SELECT wallet, round(risk_peeling, 6) AS risk_peeling, 'chain ' || best AS reason FROM peels")
+def wallet_peeling(ledger: Ledger) -> DataFrame:
+    return _ruled_peeling(ledger).select("wallet", _r("risk_peeling"), F.col("peeling_reason").alias("reason"))
+
+
 def _risks(ledger: Ledger) -> DataFrame:
+    """The fused risk over signals that SQL can state; :func:`final_alerts` fuses the models'."""
     scaled = risk.min_max(features.amount_features(ledger), "max_abs_amount_zscore", "risk_anomaly")
-    shaped = graph.peel_shaped(ledger)
-    peels = shaped.select(F.col("small_wallet").alias("wallet")).union(shaped.select("large_wallet")).distinct().withColumn("risk_peeling", F.lit(0.6))
+    peels = _ruled_peeling(ledger)
     seeds = _seeds(ledger).select("wallet", F.lit(True).alias("is_seed"))
     wallets = features.pattern_touch(ledger).join(seeds, "wallet", "left").fillna(False, ["is_seed"])
     return risk.combine(wallets, _propagated(ledger), scaled, peels)
@@ -503,3 +518,40 @@ def chain_importances(ledger: Ledger) -> DataFrame:
 @_query(None)
 def chain_reasons(ledger: Ledger) -> DataFrame:
     return validation.explain_chains(_chain_rows(ledger))
+
+
+@_query("""SELECT CAST(coalesce(sum(n * (n - 1) / 2), 0) AS BIGINT) AS merge_pairs, CAST(coalesce(sum(wrong), 0) AS BIGINT) AS false_merge_pairs FROM (
+  SELECT a.txid, count(*) AS n, (SELECT count(*) FROM ins x JOIN truth tx ON tx.wallet = x.wallet JOIN ins y ON y.txid = x.txid AND x.vin < y.vin JOIN truth ty ON ty.wallet = y.wallet WHERE x.txid = a.txid AND tx.entity <> ty.entity) AS wrong
+  FROM ins a JOIN txs ON txs.txid = a.txid WHERE pattern_type = 'coinjoin' GROUP BY a.txid)""")
+def mix_false_merges(ledger: Ledger) -> DataFrame:
+    return metrics.false_merges(ledger)
+
+
+@_query("""SELECT hits, flagged, mixes, round(CASE WHEN flagged > 0 THEN hits / flagged ELSE 0 END, 6) AS precision, round(CASE WHEN mixes > 0 THEN hits / mixes ELSE 0 END, 6) AS recall FROM (
+  SELECT count(*) FILTER (m AND f) AS hits, count(*) FILTER (f) AS flagged, count(*) FILTER (m) AS mixes FROM (SELECT pattern_type = 'coinjoin' AS m, txid IN (SELECT txid FROM ("""
+    + _COIN_SQL + """0.5)) AS f FROM txs))""")
+def mix_detection_quality(ledger: Ledger) -> DataFrame:
+    return metrics.mix_detection(ledger, graph.coinjoin_like(ledger, 0.5)).select("hits", "flagged", "mixes", _r("precision"), _r("recall"))
+
+
+@_query("""SELECT predictions, correct, real_cases, round(CASE WHEN predictions > 0 THEN correct / predictions ELSE 0 END, 6) AS precision, round(CASE WHEN real_cases > 0 THEN correct / real_cases ELSE 0 END, 6) AS recall FROM (
+  SELECT (SELECT count(*) FROM change) AS predictions, (SELECT count(*) FROM change c WHERE EXISTS (SELECT 1 FROM outs o WHERE o.txid = c.txid AND o.wallet = c.wallet AND o.is_change)) AS correct,
+    (SELECT count(*) FROM (SELECT txid FROM outs GROUP BY txid HAVING count(*) = 2 AND bool_or(is_change))) AS real_cases)""")
+def change_detection_quality(ledger: Ledger) -> DataFrame:
+    return metrics.change_detection(ledger, graph.change_predictions(ledger)).select("predictions", "correct", "real_cases", _r("precision"), _r("recall"))
+
+
+_BOTH_SQL = """, both_ways AS (SELECT src AS a, dst AS b FROM joint UNION SELECT dst, src FROM joint), far AS (SELECT a, b FROM both_ways UNION SELECT f.a, e.b FROM far f JOIN both_ways e ON f.b = e.a),
+joined AS (SELECT wallet, least(wallet, coalesce(min(b), wallet)) AS cluster FROM walletset LEFT JOIN far ON a = wallet GROUP BY wallet)
+""" + _PAIRS_SQL.replace("FROM cioh JOIN", "FROM joined JOIN")
+
+
+@_query(_BOTH_SQL + "SELECT round(CASE WHEN q > 0 THEN b / q ELSE 0 END, 6) AS precision, round(CASE WHEN t > 0 THEN b / t ELSE 0 END, 6) AS recall, round(CASE WHEN b > 0 THEN 2 * (b / q) * (b / t) / (b / q + b / t) ELSE 0 END, 6) AS f1 FROM pc")
+def combined_pair_counting(ledger: Ledger) -> DataFrame:
+    return metrics.pair_counting(_labels(ledger, graph.combined_edges(ledger))).select(_r("precision"), _r("recall"), _r("f1"))
+
+
+@_query(None)
+def final_alerts(ledger: Ledger) -> DataFrame:
+    found = alerts.final_alerts(ledger, cut(_propagated(ledger)), _seeds(ledger))
+    return risk.ranked(found).select("wallet", "risk_propagated", "risk_anomaly", "risk_peeling", "final_risk", "tie_break_score", "is_seed", "explanation", "anomaly_reason", "peeling_reason", "final_explanation")

@@ -20,7 +20,7 @@ RECORD = (
 
 @dataclass
 class Ledger:
-    """txs(txid, ts, fee, pattern_type, chain_id), inputs(txid, ts, vin, wallet, amount, entity),
+    """txs(txid, ts, fee, pattern_type, chain_id, is_mix), inputs(txid, ts, vin, wallet, amount, entity),
     outputs(txid, ts, vout, wallet, amount, entity, is_change), relay(txid, ts, ip, role)."""
 
     txs: DataFrame
@@ -39,7 +39,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_records(records: DataFrame) -> Ledger:
-    txs = records.select("txid", F.col("timestamp").alias("ts"), "fee", F.coalesce("pattern_type", "label", F.lit("unknown")).alias("pattern_type"), "chain_id")
+    txs = records.select("txid", F.col("timestamp").alias("ts"), "fee", F.coalesce("pattern_type", "label", F.lit("unknown")).alias("pattern_type"), "chain_id", F.coalesce("coinjoin_ground_truth", F.lit(False)).alias("is_mix"))
     ins = records.select("txid", F.col("timestamp").alias("ts"), F.col("sender_entity_ground_truth").alias("entity"), F.posexplode(F.arrays_zip("input_addresses", "input_amounts", "input_prevouts")).alias("vin", "x"))
     outs = records.select("txid", F.col("timestamp").alias("ts"), F.posexplode(F.arrays_zip("output_addresses", "output_amounts", "output_entity_ground_truth", "is_change_ground_truth")).alias("vout", "x"))
     relay = records.select("txid", F.col("timestamp").alias("ts"), F.inline(F.array(F.struct(F.col("src_ip").alias("ip"), F.lit("by").alias("role")), F.struct(F.col("dst_ip").alias("ip"), F.lit("to").alias("role")))))
@@ -65,10 +65,10 @@ def from_orders(spark: SparkSession, sf_dir: str) -> Ledger:
     ts = F.expr("timestampadd(SECOND, cast(o_orderkey * 7919 % 86400 as int), o_orderdate)")
     kind = F.when(key % 50 != 0, "normal").otherwise(F.element_at(F.array(*[F.lit(x) for x in ("peeling", "fanin", "fanout", "coinjoin", "coinjoin")]), F.substring("o_orderpriority", 1, 1).cast("int")))
     base = orders.select(key.alias("txid"), ts.alias("ts"), F.round(F.col("o_totalprice") * 0.001, 2).alias("fee"), kind.alias("pattern_type"), "o_custkey", "o_totalprice", "o_orderpriority")
-    txs = base.select("txid", "ts", "fee", "pattern_type", F.when(F.col("pattern_type") == "peeling", F.concat(F.lit("chain_"), F.col("o_custkey").cast("string"))).alias("chain_id"))
+    txs = base.select("txid", "ts", "fee", "pattern_type", F.when(F.col("pattern_type") == "peeling", F.concat(F.lit("chain_"), F.col("o_custkey").cast("string"))).alias("chain_id"), (F.col("pattern_type") == "coinjoin").alias("is_mix"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    placed = lines.select(F.col("l_orderkey").alias("txid"), (F.row_number().over(order) - 1).alias("vout"), F.col("l_partkey").alias("wallet"), F.col("l_extendedprice").alias("amount"))
-    outputs = placed.join(base.select("txid", "ts"), "txid").join(customers, "wallet", "left").select("txid", "ts", "vout", "wallet", "amount", "entity", F.lit(None).cast("boolean").alias("is_change"))
+    placed = lines.select(F.col("l_orderkey").alias("txid"), (F.row_number().over(order) - 1).alias("vout"), F.col("l_partkey").alias("wallet"), F.col("l_extendedprice").alias("amount"), (F.col("l_returnflag") == "R").alias("is_change"))
+    outputs = placed.join(base.select("txid", "ts"), "txid").join(customers, "wallet", "left").select("txid", "ts", "vout", "wallet", "amount", "entity", "is_change")
     own = base.select("txid", "ts", F.lit(0).alias("vin"), F.col("o_custkey").alias("wallet"), F.col("o_totalprice").alias("amount"))
     first_part = lines.groupBy(F.col("l_orderkey").alias("txid")).agg(F.min("l_partkey").alias("wallet"))
     joint = base.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("txid") % 4 == 0)).join(first_part, "txid").select("txid", "ts", F.lit(1).alias("vin"), "wallet", (F.col("o_totalprice") / 2).alias("amount"))
