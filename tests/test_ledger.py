@@ -84,6 +84,21 @@ def test_metrics_ties_and_half_even(spark):
     assert [metrics.flag_top(many, s).where("flagged").count() for s in (0.1, 0.3)] == [96, 290]
 
 
+def test_top_shares_and_curves_over_many_ranges_match_a_sort(spark):
+    rng = np.random.default_rng(6)
+    for key in ("long", "string"):
+        rows = [((i if key == "long" else f"k{i:04}"), float(rng.integers(0, 40)), int(rng.random() < 0.3)) for i in range(700)]
+        scored = spark.createDataFrame(rows, f"wallet {key}, score double, y int")
+        got = metrics.precision_recall_at(scored).collect()
+        order = sorted(rows, key=lambda r: (-r[1], r[0]))
+        for r in got:
+            top = order[: round(700 * r.share)]
+            assert (r.flagged, r.precision) == (len(top), pytest.approx(sum(x[2] for x in top) / len(top)))
+            assert {x.wallet for x in metrics.flag_top(scored, r.share).where("flagged").collect()} == {x[0] for x in top}
+    steps = {r.score: (r.tp, r["all"]) for r in metrics.curve(scored).collect()}
+    assert steps == {s: (sum(r[2] for r in rows if r[1] >= s), sum(r[1] >= s for r in rows)) for s in {r[1] for r in rows}}
+
+
 def test_pagerank_sums_to_one(spark):
     edges = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0)], "src string, dst string, amount double")
     ranks = graph.pagerank(edges, spark.createDataFrame([("a",)], "node string"))
