@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerweave.functions.scalar import haversine_km, ip_geo, signed_log1p
+from ledgerweave.sources.geo import place
 from ledgerweave.sources.ledger import Ledger
 
 SKEWED = ("avg_amount_zscore", "max_abs_amount_zscore", "tx_frequency_per_day", "max_geo_velocity_kmh", "avg_geo_velocity_kmh")
@@ -32,13 +33,16 @@ def entropy(ledger: Ledger) -> DataFrame:
     return counts.select("wallet", (-p * F.log2(p)).alias("term")).groupBy("wallet").agg(F.sum("term").alias("time_of_day_entropy"))
 
 
-def ips(ledger: Ledger) -> DataFrame:
+def ips(ledger: Ledger, database: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Each relaying address with its place, by a GeoIP database (its tables of cities and ASNs) where one is given."""
+    if database:
+        return place(ledger.relay, *database).drop("geo_source")
     return ledger.relay.select("ip").distinct().select("ip", ip_geo(F.col("ip")).alias("geo")).select("ip", "geo.*")
 
 
-def velocity(ledger: Ledger) -> DataFrame:
+def velocity(ledger: Ledger, database: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Speeds between the relaying peers of a wallet's consecutive transactions; pairs without a time step are skipped."""
-    places = ledger.relay.where("role = 'by'").join(ips(ledger), "ip").select("txid", "lat", "lon")
+    places = ledger.relay.where("role = 'by'").join(ips(ledger, database), "ip").select("txid", "lat", "lon")
     visits = ledger.edges().select("wallet", "txid", "ts").distinct().join(places, "txid")
     order = Window.partitionBy("wallet").orderBy("ts", "txid")
     hours = (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(order))) / 3600.0

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.functions.scalar import ip_geo, risk_color
+from ledgerweave.functions.scalar import COUNTRIES, risk_color
 from ledgerweave.operators import alerts, features, forest, graph, metrics, risk, validation
 from ledgerweave.plans.checkpoint import cut
+from ledgerweave.sources import geo
 from ledgerweave.sources.ledger import Ledger, from_orders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,19 +271,38 @@ def ip_geo_lookup(ledger: Ledger) -> DataFrame:
     return features.ips(ledger).select("ip", "geo_country", "asn", _r("lat"), _r("lon"))
 
 
-@_query("SELECT 'fallback' AS geo_source, count(*) AS lookups FROM relay")
-def geo_source_counts(ledger: Ledger) -> DataFrame:
-    return ledger.relay.select(F.when(ip_geo(F.col("ip")).isNotNull(), "fallback").alias("geo_source")).groupBy("geo_source").agg(F.count("*").alias("lookups"))
+def _database(ledger: Ledger) -> tuple[DataFrame, DataFrame]:
+    """A small GeoIP database over the ledger's networks: nested networks, one without a country, some without an ASN."""
+    codes = F.array(*[F.lit(c) for c, _, _ in COUNTRIES])
+    n = F.col("id")
+    net = lambda tail: F.concat(F.lit("45."), n.cast("string"), F.lit(tail))
+    wide = ledger.relay.sparkSession.range(30)
+    cities = wide.select(net(".0.0/16").alias("network"), F.element_at(codes, (n % 10 + 1).cast("int")).alias("geo_country"), n.cast("double").alias("lat"), (-n).cast("double").alias("lon"))
+    inner = wide.where("id % 3 = 0").select(net(".7.0/24").alias("network"), F.lit(None).cast("string").alias("geo_country"), (n + 0.5).cast("double").alias("lat"), (-n - 0.5).cast("double").alias("lon"))
+    return cities.unionByName(inner), wide.where("id < 20").select(net(".0.0/16").alias("network"), F.concat(F.lit("AS"), (n + 64000).cast("string")).alias("asn"))
+
 
+_PLACED_SQL = """, numbered AS (SELECT ip, 45 * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + 7 * 256 + 1 AS number, count(*) AS n FROM relay GROUP BY ip
+), cities AS (
+  SELECT 45 * 16777216 + i * 65536 AS lo, 45 * 16777216 + i * 65536 + 65535 AS hi, 16 AS bits, (['US','DE','IN','SG','NL','RU','BR','JP','GB','FR'])[i % 10 + 1] AS c, CAST(i AS DOUBLE) AS lat, CAST(-i AS DOUBLE) AS lon FROM range(30) t(i)
+  UNION ALL SELECT 45 * 16777216 + i * 65536 + 1792, 45 * 16777216 + i * 65536 + 2047, 24, NULL, i + 0.5::DOUBLE, -i - 0.5::DOUBLE FROM range(0, 30, 3) t(i)
+), systems AS (SELECT 45 * 16777216 + i * 65536 AS lo, 45 * 16777216 + i * 65536 + 65535 AS hi, 'AS' || (64000 + i) AS asn FROM range(20) t(i)
+), longest AS (SELECT ip, arg_max({'c': c, 'lat': lat, 'lon': lon}, bits) AS city FROM numbered JOIN cities ON number BETWEEN lo AND hi GROUP BY ip
+), placed AS (
+  SELECT i.ip, n, CASE WHEN s.asn IS NULL THEN i.geo_country ELSE coalesce(city.c, 'UNKNOWN') END AS geo_country, coalesce(s.asn, i.asn) AS asn,
+    CASE WHEN s.asn IS NULL THEN i.lat ELSE city.lat END AS lat, CASE WHEN s.asn IS NULL THEN i.lon ELSE city.lon END AS lon, CASE WHEN s.asn IS NULL THEN 'fallback' ELSE 'real' END AS geo_source
+  FROM numbered JOIN ips i USING (ip) LEFT JOIN longest USING (ip) LEFT JOIN systems s ON number BETWEEN s.lo AND s.hi
+) """
 
-@_query("SELECT wallet, round(avg_z, 6) AS avg_amount_zscore, round(max_z, 6) AS max_abs_amount_zscore, tx_count, round(freq, 4) AS tx_frequency_per_day, CAST(fan_in AS BIGINT) AS fan_in_degree, CAST(fan_out AS BIGINT) AS fan_out_degree FROM amounts")
-def wallet_amount_features(ledger: Ledger) -> DataFrame:
-    return features.amount_features(ledger).select("wallet", _r("avg_amount_zscore"), _r("max_abs_amount_zscore"), "tx_count", _r("tx_frequency_per_day", 4), "fan_in_degree", "fan_out_degree")
 
+@_query(_PLACED_SQL + "SELECT ip, geo_country, asn, round(lat, 6) AS lat, round(lon, 6) AS lon, geo_source FROM placed")
+def geo_database_lookup(ledger: Ledger) -> DataFrame:
+    return geo.place(ledger.relay, *_database(ledger)).select("ip", "geo_country", "asn", _r("lat"), _r("lon"), "geo_source")
 
-@_query("SELECT wallet, round(entropy, 6) AS time_of_day_entropy FROM ent")
-def wallet_entropy(ledger: Ledger) -> DataFrame:
-    return features.entropy(ledger).select("wallet", F.abs(_r("time_of_day_entropy")).alias("time_of_day_entropy"))
+
+@_query(_PLACED_SQL + "SELECT geo_source, CAST(sum(n) AS BIGINT) AS lookups FROM placed GROUP BY geo_source")
+def geo_source_counts(ledger: Ledger) -> DataFrame:
+    return geo.source_counts(ledger.relay, geo.place(ledger.relay, *_database(ledger)))
 
 
 @_query("SELECT wallet, round(max_v, 2) AS max_geo_velocity_kmh, round(avg_v, 2) AS avg_geo_velocity_kmh FROM vel")
