@@ -141,3 +141,44 @@ def test_chain_reasons_add_up(spark):
     out = validation.explain_chains(chain_table(spark, 30)).toPandas()
     total = out[[f"shap_{c}" for c in forest.CHAIN_FEATURES]].sum(axis=1) - out["predicted_probability"]
     assert np.allclose(total, total.iloc[0]) and out.loc[out.label == 1, "shap_reason"].str.startswith("Driven by").all()
+
+
+def _share_without(x, y, w, i, seed, depth=3):
+    """The share in row i's leaf of a tree grown, plainly, from the other rows."""
+    rows, level, path = np.array([j for j in range(len(x)) if j != i and w[j] > 0], int), 0, 0
+    while True:
+        n, ones = w[rows].sum(), (w * y)[rows].sum()
+        if level == depth or not 0 < ones < n:
+            return ones / n if n else 0.0
+        best, found = -1.0, None
+        order = np.random.default_rng([*seed, level, path]).permutation(x.shape[1])
+        for f in [f for f in order if len(set(x[rows, f])) > 1][: int(np.sqrt(x.shape[1]))]:
+            values = sorted(set(x[rows, f]))
+            for a, b in zip(values, values[1:]):
+                purity = 0.0
+                for part in (rows[x[rows, f] <= a], rows[x[rows, f] > a]):
+                    m, k = w[part].sum(), (w * y)[part].sum()
+                    purity += (k * k + (m - k) ** 2) / m
+                if purity > best:
+                    best, found = purity, (f, (a + b) / 2)
+        f, cut = found
+        low = x[i, f] <= cut
+        rows = rows[(x[rows, f] <= cut) == low]
+        level, path = level + 1, 2 * path + int(not low)
+
+
+@pytest.mark.parametrize("digits", [0, 1, 6])
+def test_left_out_shares_equal_a_fit_for_each_row(digits):
+    rng = np.random.default_rng(digits)
+    for n in (1, 2, 3, 40):
+        x, y = np.round(rng.normal(size=(n, 10)), digits), rng.integers(0, 2, n).astype(float)
+        x[:, 3] = 1.0
+        for tree in range(5):
+            w = validation.drawn(rng.integers(-(2**62), 2**62, n), tree, 7)
+            got = validation.left_out_shares(x, y, w, [7, tree])
+            assert got.tolist() == pytest.approx([_share_without(x, y, w, i, [7, tree]) for i in range(n)], abs=1e-12)
+
+
+def test_leave_one_out_has_no_limit(spark):
+    got = validation.leave_one_out(chain_table(spark, 5100), trees=2)
+    assert got.count() == got.select("chain").distinct().count() == 5100 and validation.report(got).first().recall > 0.8
