@@ -65,3 +65,13 @@ def test_all_of_a_small_table(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: tuple(r)[1:] for r in queries.op1_suffix_dedup(spark, "/root/testdata/sf0.001").collect()}
     assert got == {i: w for (i, _), w in zip(rows, brute([t for _, t in rows], 200), strict=True)}
+
+
+def test_joins_are_merged_at_every_size(spark, monkeypatch):
+    from ledgerweave.llm import substring_exact
+
+    plans, write = [], substring_exact.cut
+    monkeypatch.setattr(substring_exact, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    docs = spark.createDataFrame([(i, "".join(chr(97 + (i % 3 * 7 + k * k) % 26) for k in range(300))) for i in range(6)], "doc_id long, text string")
+    assert substring_exact.remove_repeats(docs).count() == 6
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
