@@ -182,3 +182,19 @@ def test_left_out_shares_equal_a_fit_for_each_row(digits):
 def test_leave_one_out_has_no_limit(spark):
     got = validation.leave_one_out(chain_table(spark, 5100), trees=2)
     assert got.count() == got.select("chain").distinct().count() == 5100 and validation.report(got).first().recall > 0.8
+
+
+def test_shap_values_of_a_leaf_are_those_of_all_orders():
+    from itertools import permutations
+    from math import prod
+
+    leaf = forest.Leaf(2.0, {1: (0.0, 1.0), 3: (-np.inf, 0.5), 0: (0.2, np.inf)}, {1: 0.5, 3: 0.25, 0: 0.7})
+    x = np.random.default_rng(1).normal(size=(50, 4))
+    got = forest.Forest(list("abcd"), [[leaf]], 4).shap(x)
+    for row, values in zip(x, got, strict=True):
+        inside = {f: float(lo < row[f] <= hi) for f, (lo, hi) in leaf.bounds.items()}
+        worth = lambda some: -leaf.depth * prod(inside[f] if f in some else leaf.shares[f] for f in leaf.bounds)  # noqa: E731, B023
+        for f in leaf.bounds:
+            gains = [worth(o[: o.index(f) + 1]) - worth(o[: o.index(f)]) for o in permutations(leaf.bounds)]
+            assert values[f] == pytest.approx(sum(gains) / len(gains))
+        assert values[2] == 0
