@@ -75,3 +75,29 @@ def test_joins_are_merged_at_every_size(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "".join(chr(97 + (i % 3 * 7 + k * k) % 26) for k in range(300))) for i in range(6)], "doc_id long, text string")
     assert substring_exact.remove_repeats(docs).count() == 6
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+@pytest.mark.parametrize("listed", [1 << 20, 1])
+def test_a_hot_owner_costs_no_further_exchange_of_the_texts(spark, monkeypatch, listed):
+    plans, write = [], substring_exact.cut
+    monkeypatch.setattr(substring_exact, "LISTED", listed, raising=False)
+    monkeypatch.setattr(substring_exact, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n))
+    passages = [text(330), text(260)]
+    rows = [(i, text(int(rng.integers(0, 90))) + passages[i % 2] + text(int(rng.integers(0, 90)))) for i in range(40)]
+    check(spark, [*rows, rows[3], (99, rows[4][1])], 200, hot=2)
+    assert len(plans) > 4  # owners were divided
+    assert any("whole" in p for p in plans) == (listed == 1)
+
+
+def test_a_text_has_the_same_pieces_beside_any_rows():
+    rng = np.random.default_rng(6)
+    rows = [rng.integers(97, 123, int(n)).astype(np.uint8) for n in (30, 500, 0, 5, 90, 70, 20, 300)]
+    for limit in (7, 64, 100, 10000):
+        offsets = np.cumsum([0, *[len(r) for r in rows]])
+        row, *found = substring_exact.scanned(np.concatenate(rows), offsets, 20, 8, limit)
+        for i, r in enumerate(rows):
+            alone = substring_exact.scanned(r, np.array([0, len(r)]), 20, 8, limit)[1:]
+            assert all(np.array_equal(x[row == i], y) for x, y in zip(found, alone, strict=True))
+            assert int(alone[1].sum()) == max(0, len(r) - 19)
