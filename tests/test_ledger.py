@@ -198,3 +198,46 @@ def test_shap_values_of_a_leaf_are_those_of_all_orders():
             gains = [worth(o[: o.index(f) + 1]) - worth(o[: o.index(f)]) for o in permutations(leaf.bounds)]
             assert values[f] == pytest.approx(sum(gains) / len(gains))
         assert values[2] == 0
+
+
+def test_explained_forest_is_grown_from_all_rows(spark):
+    # label 1 only where a hash-chosen half of the rows, which the forest once was grown from, has none
+    rows = spark.range(40000).withColumn("label", F.expr(f"int(pmod(xxhash64(42, id), {1 << 30}) >= {1 << 29})")).withColumnRenamed("id", "chain")
+    rows = rows.select("chain", "label", *[(F.col("label") + F.rand(i)).alias(c) for i, c in enumerate(forest.CHAIN_FEATURES)])
+    got = {r.label: r for r in validation.explain_chains(rows).groupBy("label").agg(F.min("predicted_probability").alias("least"), F.max("predicted_probability").alias("most"), F.count("*").alias("n")).collect()}
+    assert got[0].n + got[1].n == 40000 and got[0].most < 0.1 and got[1].least > 0.9
+
+
+@pytest.mark.parametrize("digits", [0, 6])
+def test_forest_of_the_executors_equals_the_drivers(spark, digits):
+    rng = np.random.default_rng(digits)
+    names, n = list(forest.CHAIN_FEATURES), 700
+    x, y = np.round(rng.normal(size=(n, len(names))), digits), rng.integers(0, 2, n)
+    x[:, 0] += y
+    x[:, 1] = 2.0  # one value in all blocks
+    x[:600, 2] = 3.0
+    x[::50, 4] = np.nan
+    x[0, 5], x[1, 5] = np.inf, -np.inf
+    rows = spark.createDataFrame([(i, int(b), *map(float, a)) for i, (a, b) in enumerate(zip(x, y))], "chain long, label int, " + ", ".join(f"{c} double" for c in names)).cache()
+    keys = np.array([r[0] for r in rows.orderBy("chain").select(F.xxhash64("chain")).collect()])
+    want = validation.grow_forest(x, y.astype(float), keys, trees=6)
+    got = validation.grow_apart(rows, n, trees=6, block=100)
+    assert got.trees == want.trees and max(len(t) for t in want.trees) == 8
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 60])
+def test_a_grown_tree_has_the_shares_of_plain_growth(n):
+    rng = np.random.default_rng(n)
+    x, y = rng.normal(size=(n, 10)), rng.integers(0, 2, n).astype(float)
+    for tree in range(5):
+        w = np.append(validation.drawn(rng.integers(-(2**62), 2**62, n), tree, 7), 0.0)  # one more row, not drawn
+        if w.any():
+            far, mark = np.vstack((x, rng.normal(size=10))), np.append(y, 0.0)
+            leaves = validation.grow(far, mark, w, 7, tree)
+            share = -forest.Forest(list(forest.CHAIN_FEATURES), [leaves], n).depth(far[-1:])[0]
+            assert share == pytest.approx(_share_without(far, mark, w, n, [7, tree]), abs=1e-12)
+
+
+def test_probability_of_one_class_is_sure(spark):
+    got = validation.explain_chains(chain_table(spark, 6).where("label = 1").limit(1)).first()
+    assert got.predicted_probability == 1.0 and got.shap_hop_count == 0.0
