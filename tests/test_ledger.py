@@ -241,3 +241,21 @@ def test_a_grown_tree_has_the_shares_of_plain_growth(n):
 def test_probability_of_one_class_is_sure(spark):
     got = validation.explain_chains(chain_table(spark, 6).where("label = 1").limit(1)).first()
     assert got.predicted_probability == 1.0 and got.shap_hop_count == 0.0
+
+
+def test_anomaly_trees_draw_from_all_rows(spark):
+    # far only where a hash-chosen part of the rows, which all trees once drew from, has none
+    far = F.expr(f"int(pmod(xxhash64(42, wallet), {1 << 30}) >= {int((1 << 30) * 0.4096)})")
+    rows = spark.range(20000).withColumnRenamed("id", "wallet").select("wallet", (F.rand(1) + 10 * far).alias("a"), F.rand(2).alias("b")).cache()
+    model = forest.fit(rows, ["a", "b"], trees=20)
+    assert any(lo > 1 for tree in model.trees for leaf in tree for lo, _ in leaf.bounds.values())
+
+
+@pytest.mark.parametrize("n", [1, 5, 3000])
+def test_anomaly_trees_are_those_of_their_lowest_hashes(spark, n):
+    rows = spark.range(n).withColumnRenamed("id", "wallet").select("wallet", (F.col("wallet") * 37 % 101).cast("double").alias("a"))
+    table = rows.select(F.xxhash64("wallet").alias("order"), "a").toPandas().sort_values("order")
+    x, keys = table[["a"]].to_numpy(), table["order"].to_numpy()
+    want = [forest.grow(x[np.argsort(forest.places(keys, t, 42), kind="stable")[:8]], 42 + t) for t in range(5)]
+    model = forest.fit(rows, ["a"], trees=5, sample=8)
+    assert model.trees == want and model.size == min(8, n)
